@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontam, urls
+from tessera.llm import decontam, licenses, quality, urls
 from tessera.llm.common import read
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    joined = {"n_sentences": F.size("sentence_ids").cast("long"), "sentence_ids": F.concat_ws(",", "sentence_ids"), "licences": F.concat_ws(",", "licences")}
+    return out.select("doc_id", *[c.alias(k) for k, c in joined.items()], "use")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -19,8 +31,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_benchmark_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op2_quality_rules, op6_license_scans, op9_benchmark_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": decontam.oracle(), "op10_url_filters": urls.oracle()}
+    return {"op2_quality_rules": quality.oracle(), "op6_license_scans": licenses.oracle(), "op9_benchmark_decontamination": decontam.oracle(), "op10_url_filters": urls.oracle()}
