@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, licenses, quality, urls
-from tessera.llm.common import read
+from tessera.llm import decontam, langid, licenses, quality, urls
+from tessera.llm.common import held_out, read
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.train(langid.training_rows(docs))
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op6_license_scans, op9_benchmark_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op6_license_scans, op9_benchmark_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
