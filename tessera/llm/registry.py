@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, licenses, quality, urls
+from tessera.llm import decontam, langid, licenses, quality, secrets, urls
 from tessera.llm.common import held_out, read
 
 
@@ -22,6 +22,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
     joined = {"n_sentences": F.size("sentence_ids").cast("long"), "sentence_ids": F.concat_ws(",", "sentence_ids"), "licences": F.concat_ws(",", "licences")}
@@ -37,7 +42,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op6_license_scans, op9_benchmark_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_secret_scans, op6_license_scans, op9_benchmark_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
