@@ -24,7 +24,8 @@ def ascii_lower(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; a null text has none."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE_RE), lambda w: w != "")
+    inner = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_RE))
 
 
 def let(value: Column, body) -> Column:

@@ -15,14 +15,15 @@ COMMON_WORDS = {
     "fr": ("au", "aux", "avec", "ce", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les", "ne", "ou", "par", "pas", "plus", "pour", "que", "qui", "se", "son", "sur", "un", "une", "à"),
 }
 #: Character classes as regex sets; what is in none of them is the class "other".
-CLASSES = (r"a-z", r"A-Z", r"0-9", r"\x20\x09-\x0D", r".,;:!?'\x22()-", r"\x{80}-\x{10FFFF}")
+CLASSES = (r"a-z", r"\x20\x09-\x0D", r"\x{80}-\x{10FFFF}", r"A-Z", r".,;:!?'\x22()-", r"0-9")
+SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Below these a histogram says too little, and its distance isn't judged.
 MIN_CHARS, MIN_JUDGED_WORDS = 200, 50
 #: Largest Jensen-Shannon distances (0 to 1) from the nearest reference that are kept.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.85
-_TRIM = "[.,;:!?]+$"
+_TRIM = ".,;:!?"
 _ALL = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 
@@ -53,31 +54,37 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))).cast("long")
+def _class_counts(text: Column) -> Column:
+    """Characters of each class, then of none, then those of them that are symbols. Each class is cut from what the ones before it left, the commonest first."""
+
+    def cut(rest: Column, todo: tuple[str, ...], counts: list[Column]) -> Column:
+        if not todo:
+            return F.array(*counts, F.length(rest).cast("long"), (F.length(rest) - F.length(F.translate(rest, SYMBOLS, ""))).cast("long"))
+        return let(F.regexp_replace(rest, f"[{todo[0]}]+", ""), lambda less: cut(less, todo[1:], [*counts, (F.length(rest) - F.length(less)).cast("long")]))
+
+    return let(text, lambda t: cut(t, CLASSES, []))
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The base counts of each document, its character-class counts and its common words, beside doc_id and lang."""
+    """The base counts of each document, its character-class counts and its common words (w: number in the sorted list, n), beside doc_id and lang."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.select("doc_id", "lang", F.explode(F.array(F.struct(t.alias("t"), words(t).alias("ws")))).alias("x")).select("doc_id", "lang", F.col("x.t").alias("t"), F.col("x.ws").alias("ws"))
     t, ws = F.col("t"), F.col("ws")
-    spaces = _count(t, CLASSES[3])
-    known = [_count(t, c) if i != 3 else spaces for i, c in enumerate(CLASSES)]
+    short = F.filter(F.transform(ws, lambda w: F.rtrim(w, F.lit(_TRIM))), lambda w: F.length(w) <= max(map(len, _ALL)))
     out = out.select(
         "doc_id",
         "lang",
         F.size(ws).cast("long").alias("n_words"),
         F.length(t).cast("long").alias("n_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         repeated_lines(t).alias("n_dup_lines"),
         repeated_words(ws).alias("n_repeat_words"),
-        F.array(*known).alias("classes"),
-        F.filter(F.transform(ws, lambda w: F.regexp_replace(ascii_lower(w), _TRIM, "")), lambda w: w.isin(_ALL)).alias("common"),
+        _class_counts(t).alias("classes"),
+        F.filter(F.transform(short, lambda w: ascii_lower(w)), lambda w: w.isin(_ALL)).alias("common"),
     )
-    rest = F.col("n_chars") - sum((F.col("classes")[i] for i in range(len(CLASSES))), F.lit(0).cast("long"))
-    runs = let(F.col("common"), lambda c: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("w"), F.size(F.filter(c, lambda x: x == w)).alias("n"))))
-    return out.withColumns({"word_chars": F.col("n_chars") - F.col("classes")[3], "classes": F.concat("classes", F.array(rest)), "n_common": F.size("common").cast("long"), "common": runs})
+    number = F.array(*[F.lit(w) for w in _ALL])
+    runs = let(F.col("common"), lambda c: F.transform(F.array_distinct(c), lambda w: F.struct((F.array_position(number, w) - 1).cast("int").alias("w"), F.size(F.filter(c, lambda x: x == w)).alias("n"))))
+    n = len(CLASSES) + 1
+    return out.withColumns({"word_chars": F.col("n_chars") - F.col("classes")[1], "n_symbols": F.col("classes")[n], "classes": F.slice("classes", 1, n), "n_common": F.size("common").cast("long"), "common": runs})
 
 
 def references(feats: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
@@ -90,7 +97,7 @@ def references(feats: DataFrame) -> dict[str, tuple[list[float], dict[str, float
     counts = known.select("lang", F.explode("common").alias("x")).groupBy("lang", "x.w").agg(F.sum("x.n").alias("n")).collect()
     out = {}
     for r in chars:
-        total, own = sum(r[1:]), {c["w"]: c["n"] for c in counts if c["lang"] == r["lang"]}
+        total, own = sum(r[1:]), {_ALL[c["w"]]: c["n"] for c in counts if c["lang"] == r["lang"]}
         if total and own:
             out[r["lang"]] = ([x / total for x in r[1:]], {w: n / sum(own.values()) for w, n in sorted(own.items())})
     return out
@@ -112,10 +119,10 @@ def _nearest(cols: list[Column]) -> Column:
 
 def _word_divergence(own: dict[str, float]) -> Column:
     """Of the document's common words from a reference; bins that the document lacks add half their reference share."""
-    table = F.create_map(*[F.lit(x) for kv in own.items() for x in kv])
+    shares = F.array(*[F.lit(own.get(w, 0.0)) for w in _ALL])
 
     def add(a: Column, x: Column) -> Column:
-        p, q = x["n"] / F.col("n_common"), F.coalesce(F.element_at(table, x["w"]), F.lit(0.0))
+        p, q = x["n"] / F.col("n_common"), F.get(shares, x["w"])
         return F.struct((a["d"] + _term(p, q)).alias("d"), (a["q"] + q).alias("q"))
 
     return F.aggregate(F.col("common"), F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), add, lambda a: a["d"] + (1 - a["q"]) / 2)
@@ -165,7 +172,7 @@ def oracle() -> str:
     g AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d)),
     tw AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
     rep AS (SELECT doc_id, count(DISTINCT x) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS x FROM tw) GROUP BY doc_id),
-    w AS (SELECT doc_id, lang, regexp_replace(translate(unnest(ws), '{UPPER}', '{LOWER}'), '{_TRIM}', '') AS w FROM d),
+    w AS (SELECT doc_id, lang, regexp_replace(translate(unnest(ws), '{UPPER}', '{LOWER}'), '[{_TRIM}]+$', '') AS w FROM d),
     cw AS (SELECT doc_id, lang, w, count(*) AS n FROM w WHERE w IN ({listed}) GROUP BY ALL),
     nc AS (SELECT doc_id, sum(n) AS n_common FROM cw GROUP BY doc_id),
     fk AS (SELECT * REPLACE (list_append(k, n_chars - list_sum(k)) AS k) FROM f),
@@ -178,7 +185,7 @@ def oracle() -> str:
     dw AS (SELECT doc_id, min(sqrt(greatest(0.0, least(1.0, s)))) AS word_distance FROM (
             SELECT cw.doc_id, ref.lang, sum({half('(n / n_common)', 'coalesce(q, 0)')} + {half('coalesce(q, 0)', '(n / n_common)')}) + (1 - sum(coalesce(q, 0))) / 2 AS s
             FROM cw JOIN nc USING (doc_id) CROSS JOIN ref LEFT JOIN rw ON rw.lang = ref.lang AND rw.w = cw.w GROUP BY ALL) GROUP BY doc_id),
-    a AS (SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - k[4] AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    a AS (SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_chars - k[2] AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, n_chars, char_distance,
             CASE WHEN word_distance IS NULL AND EXISTS (FROM ref) THEN 1.0 ELSE word_distance END AS word_distance
           FROM fk LEFT JOIN rep USING (doc_id) LEFT JOIN dc USING (doc_id) LEFT JOIN dw USING (doc_id)),
