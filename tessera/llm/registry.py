@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, licenses, quality, secrets, urls
+from tessera.llm import bpe, decontam, langid, licenses, neardup, quality, secrets, urls
 from tessera.llm.common import held_out, read
 
 
@@ -31,6 +31,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"], tokens=False, digests=True)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
     joined = {"n_sentences": F.size("sentence_ids").cast("long"), "sentence_ids": F.concat_ws(",", "sentence_ids"), "licences": F.concat_ws(",", "licences")}
@@ -46,8 +50,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_secret_scans, op4_byte_bpe, op6_license_scans, op9_benchmark_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_secret_scans, op4_byte_bpe, op5_minhash_near_dedup, op6_license_scans, op9_benchmark_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.oracle(), "op6_license_scans": licenses.oracle(), "op9_benchmark_decontamination": decontam.oracle(), "op10_url_filters": urls.oracle()}
+    return {"op2_quality_rules": quality.oracle(), "op5_minhash_near_dedup": neardup.oracle(), "op6_license_scans": licenses.oracle(), "op9_benchmark_decontamination": decontam.oracle(), "op10_url_filters": urls.oracle()}
