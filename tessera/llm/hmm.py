@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, held_out, words, written
 
-STATES, ITERATIONS, SEED = 4, 3, 3
+STATES, ITERATIONS, SEED = 4, 4, 3
+#: Pseudo-counts by which a state first prefers to stay.
+STICK = 40
 #: Groups of the most frequent words, of word endings, and the end's.
 OWN_GROUPS, ENDINGS = 256, 255
 GROUPS = OWN_GROUPS + ENDINGS + 1
@@ -128,12 +130,12 @@ class Hmm:
 
 
 def initial(group_tokens: np.ndarray, ends: int) -> Hmm:
-    """Corpus frequencies of the groups, unsettled a little so that the states can part."""
+    """Corpus frequencies of the groups, unsettled so that the states can part, and states that rather stay."""
     r = np.random.default_rng(SEED)
     base = group_tokens + EMISSION_SMOOTHING
     base[END] += ends
-    emit = base * r.uniform(0.5, 1.5, (STATES, GROUPS))
-    move = r.uniform(0.5, 1.5, (STATES, STATES)) + np.eye(STATES)
+    emit = base * (r.gamma(0.5, 1, (STATES, GROUPS)) + 0.02)
+    move = r.uniform(0.5, 1.5, (STATES, STATES)) + STICK * np.eye(STATES)
     return Hmm(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
