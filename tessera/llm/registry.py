@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, hmm, langid, licenses, neardup, quality, secrets, urls
+from tessera.llm import bpe, decontam, hmm, langid, licenses, neardup, quality, secrets, sstable, urls
 from tessera.llm.common import held_out, read
 
 
@@ -45,6 +45,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -54,7 +58,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_secret_scans, op4_byte_bpe, op5_minhash_near_dedup, op6_license_scans, op7_lm_scoring, op9_benchmark_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_secret_scans, op4_byte_bpe, op5_minhash_near_dedup, op6_license_scans, op7_lm_scoring, op8_token_shards, op9_benchmark_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
