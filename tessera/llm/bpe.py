@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces whose ids a worker remembers; the cache starts anew when it is full.
@@ -240,52 +241,57 @@ def encoder(path: str = RANKS) -> Encoder:
     return Encoder(path)
 
 
-_TOKENS = {"ids": pa.list_(pa.int32()), "offsets": pa.list_(pa.int64()), "decoded": pa.string()}
-_DIGESTS = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+#: What encode can return: Arrow type and Spark type.
+OUTPUTS = {
+    "ids": (pa.list_(pa.int32()), "array<int>"),
+    "offsets": (pa.list_(pa.int64()), "array<bigint>"),
+    "decoded": (pa.string(), "string"),
+    "n_tokens": (pa.int64(), "bigint"),
+    "ids_sha256": (pa.string(), "string"),
+    "decoded_sha256": (pa.string(), "string"),
+}
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def _columns(texts: list[str | None], path: str, tokens: bool, digests: bool) -> dict[str, pa.Array]:
-    enc, out = encoder(path), {k: [] for k in (_TOKENS if tokens else {}) | (_DIGESTS if digests else {})}
+def _columns(texts: list[str | None], path: str, outputs: Sequence[str]) -> list[pa.Array]:
+    enc, rows = encoder(path), []
     for ids in enc.encode([t or "" for t in texts]):
         offsets = enc.offsets(ids)
         raw = enc.decode(ids, offsets)
-        if tokens:
-            out["ids"].append(ids)
-            out["offsets"].append(offsets)
-            out["decoded"].append(raw.decode())
-        if digests:
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
-    return {k: pa.array(v, (_TOKENS | _DIGESTS)[k]) for k, v in out.items()}
-
-
-def encode(df: DataFrame, text: str = "text", *, keep: Sequence[str] | None = None, path: str = RANKS, tokens: bool = True, digests: bool = False) -> DataFrame:
-    """Columns `keep` of df (all without it) with the tokens of each whole text, decoded again.
-
-    tokens: ids, offsets (where each token begins in the text's bytes, and the end) and decoded; digests:
-    n_tokens and SHA-256 of the ids (little-endian unsigned 32 bit) and of the decoded bytes. A null text is
-    encoded as an empty one: no ids. Columns of df with these names are replaced. Rows are handled in
-    slices of a few million characters, and a long text alone.
+        made = {
+            "ids": lambda ids=ids: ids,
+            "offsets": lambda offsets=offsets: offsets,
+            "decoded": lambda raw=raw: raw.decode(),
+            "n_tokens": lambda ids=ids: len(ids),
+            "ids_sha256": lambda ids=ids: hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
+            "decoded_sha256": lambda raw=raw: hashlib.sha256(raw).hexdigest(),
+        }
+        rows.append([made[k]() for k in outputs])
+    return [pa.array([r[i] for r in rows], OUTPUTS[k][0]) for i, k in enumerate(outputs)]
+
+
+def encode(df: DataFrame, text: str = "text", *, keep: Sequence[str] | None = None, path: str = RANKS, outputs: Sequence[str] = tuple(OUTPUTS)) -> DataFrame:
+    """Columns `keep` of df (all without it) with `outputs` of each whole text, encoded and decoded again.
+
+    outputs: ids; offsets (where each token begins in the text's bytes, and the end); decoded; n_tokens; SHA-256
+    of the ids (little-endian unsigned 32 bit) and of the decoded bytes. A null text is encoded as an empty one:
+    no ids. Columns of df with these names are replaced. Rows are handled in slices of a few million characters,
+    and a long text alone.
     """
-    new = (_TOKENS if tokens else {}) | (_DIGESTS if digests else {})
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    ddl = {pa.list_(pa.int32()): "array<int>", pa.list_(pa.int64()): "array<bigint>", pa.string(): "string", pa.int64(): "bigint"}
-    given = df.select(*[f"`{c}`" for c in kept], df[text].alias("_text"))
+    kept = [c for c in (df.columns if keep is None else keep) if c not in outputs]
+    given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n = 0, batch.num_rows
-            texts = batch.column(batch.num_columns - 1)
-            while at < n:
+            at, texts = 0, batch.column(batch.num_columns - 1)
+            while at < batch.num_rows:
                 stop, size = at, 0
-                while stop < n and (stop == at or size < 4 * BLOCK):
+                while stop < batch.num_rows and (stop == at or size < 4 * BLOCK):
                     size += len(texts[stop].as_py() or "")
                     stop += 1
                 part = batch.slice(at, stop - at)
-                made = _columns(part.column(part.num_columns - 1).to_pylist(), path, tokens, digests)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made.values()], [*kept, *made])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *_columns(part.column(len(kept)).to_pylist(), path, outputs)], [*kept, *outputs])
                 at = stop
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]] + [f"{k} {ddl[v]}" for k, v in new.items()])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]] + [f"{k} {OUTPUTS[k][1]}" for k in outputs])
     return given.mapInArrow(run, schema)

@@ -175,8 +175,8 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
     return Model(languages, idf.astype(np.float32), w.astype(np.float32), b, fit_temperature(logits, y[aside]))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred and score (0 to 1) of each whole text; und and 0 where it is null or has no letter.
+def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+    """df with lang_pred and score (their names after `prefix`) (0 to 1) of each whole text; und and 0 where it is null or has no letter.
 
     Only the text is read. Columns of df with these names are replaced; all others stay, row by row.
     """
@@ -188,8 +188,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = df.withColumn("_lang", of(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (f"{prefix}lang_pred", f"{prefix}score")], of(F.col(text)).alias("_lang_of_text"))
+    return out.select("*", *[F.col(f"_lang_of_text.{c}").alias(f"{prefix}{c}") for c in ("lang_pred", "score")]).drop("_lang_of_text")
 
 
 def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -199,3 +199,8 @@ def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
 def accepted(lang_pred: Column, score: Column, min_score: float = 0.5) -> Column:
     """What a corpus keeps: a determined language, predicted with at least `min_score`."""
     return (lang_pred != UNDETERMINED) & (score >= min_score)
+
+
+def accept(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of docs whose language the model determines with at least `min_score`, their columns untouched."""
+    return predict(docs, model, text, "_langid_").where(accepted(F.col("_langid_lang_pred"), F.col("_langid_score"), min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])

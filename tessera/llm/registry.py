@@ -28,7 +28,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"], tokens=False, digests=True)
+    return bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"], outputs=bpe.DIGESTS)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,8 +129,8 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scan(df: DataFrame, text: str = "text", scorer: Scorer | None = None) -> DataFrame:
-    """df with n_assign, n_access, n_hex, base_sha256, spans and redacted of each whole text.
+def scan(df: DataFrame, text: str = "text", scorer: Scorer | None = None, prefix: str = "") -> DataFrame:
+    """df with n_assign, n_access, n_hex, base_sha256, spans and redacted (their names after `prefix`) of each whole text.
 
     spans: kind:start:end in code points, comma-joined; redacted: the text with each span replaced by
     [kind], overlapping ones as the first of them. A null text is searched as an empty one and stays null.
@@ -143,8 +143,15 @@ def scan(df: DataFrame, text: str = "text", scorer: Scorer | None = None) -> Dat
         for texts in batches:
             yield pd.DataFrame([_row(t, shared.value) for t in texts], columns=list(_COLUMNS))
 
-    out = df.withColumn("_found", of(F.col(text)))
-    return out.withColumns({c: F.col(f"_found.{c}") for c in _COLUMNS}).drop("_found")
+    new = {c: f"{prefix}{c}" for c in _COLUMNS}
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new.values()], of(F.col(text)).alias("_secrets_found"))
+    return out.select("*", *[F.col(f"_secrets_found.{c}").alias(k) for c, k in new.items()]).drop("_secrets_found")
+
+
+def without_secrets(docs: DataFrame, text: str = "text", scorer: Scorer | None = None) -> DataFrame:
+    """docs with each secret in `text` replaced by its kind in brackets; all else stays."""
+    found = scan(docs, text, scorer, "_secret_")
+    return found.select(*[F.col("_secret_redacted").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 _COLUMNS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted")
