@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, held_out, words, written
+from tessera.llm.common import held_out, written
 
 STATES, ITERATIONS, SEED = 4, 4, 3
 #: Pseudo-counts by which a state first prefers to stay.
@@ -30,6 +30,8 @@ END = GROUPS - 1
 ENDING = 3
 #: Most frequent words whose counts go to every task; all others are joined.
 SHARED_WORDS = 20_000
+#: Distinct words that a task counts before it passes the counts on.
+PARTIAL_WORDS = 300_000
 SMOOTHING, EMISSION_SMOOTHING = 0.1, 0.1
 #: Tokens of a training sequence, and of a block whose transfer matrix scoring makes.
 BLOCK = 64
@@ -60,9 +62,23 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n], pa.string()), pa.array(n.values(), pa.int64())], ["word", "c"])
+
+    n: Counter = Counter()
+    for batch in batches:
+        for t in batch.column(0):
+            n.update(tokens(t.as_py()))
+            if len(n) >= PARTIAL_WORDS:
+                yield flush()
+                n.clear()
+    yield flush()
+
+
 def count_words(train: DataFrame) -> DataFrame:
-    """(word, c) over all training texts."""
-    return train.select(F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    """(word, c) over all training texts, counted within tasks first."""
+    return train.select("text").mapInArrow(_counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
@@ -85,6 +101,30 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     return Vocabulary(int(n.sum()) + ends, int(v.sum()) + (ends > 0), ends, dict(top), own, n, v)
 
 
+_END = np.array([END], "<u2").tobytes()
+
+
+class _Groups(dict):
+    """Groups of words, remembered up to a bound."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        k = self[word] = self.vocab.group(word)
+        return k
+
+
+class _Logs(dict):
+    """What shared words add to a sum of logarithms; other words add nothing here."""
+
+    def __missing__(self, word: bytes) -> float:
+        return 0.0
+
+
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("groups", pa.binary()), ("known", pa.int64()), ("logs", pa.float64()), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
 
 
@@ -94,28 +134,18 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        logs = {w: np.log10(c + SMOOTHING) for w, c in v.counts.items()}
-        groups: dict[bytes, int] = {}
+        groups, logs = _Groups(v), _Logs({w: float(np.log10(c + SMOOTHING)) for w, c in v.counts.items()})
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 cols: list[list] = [[] for _ in range(6)]
                 for t in part.column("text"):
                     ws = tokens(t.as_py())
-                    if len(groups) > 500_000:
-                        groups.clear()
-                    g = np.empty(len(ws) + 1, "<u2")
-                    for i, w in enumerate(ws):
-                        k = groups.get(w)
-                        if k is None:
-                            k = groups[w] = v.group(w)
-                        g[i] = k
-                    g[-1] = END
-                    n = Counter(ws)
-                    rest = [w for w in n if w not in logs]
-                    far = sum(n[w] for w in rest)
-                    own = sum(n[w] * logs[w] for w in n if w in logs)
-                    for c, x in zip(cols, (len(ws) + 1, g.tobytes(), len(ws) - far + (v.ends > 0), own, [w.decode() for w in rest], [n[w] for w in rest]), strict=True):
+                    rest = [w for w in ws if w not in logs]
+                    times = Counter(rest)
+                    g = np.fromiter(map(groups.__getitem__, ws), "<u2", len(ws)).tobytes() + _END
+                    made = (len(ws) + 1, g, len(ws) - len(rest) + (v.ends > 0), sum(map(logs.__getitem__, ws)), [w.decode() for w in times], list(times.values()))
+                    for c, x in zip(cols, made, strict=True):
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *[pa.array(c, f.type) for c, f in zip(cols, list(_ENCODED)[2:], strict=True)]], schema=_ENCODED)
 
