@@ -1,11 +1,18 @@
-"""The queries of the reference-style operators, and their DuckDB SQL."""
+"""All queries of the reference-style operators, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tessera.queries import keyspace  # noqa: F401  registers its queries
+from tessera.queries.base import QUERIES, SQL
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
