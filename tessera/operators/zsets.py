@@ -55,10 +55,9 @@ def zrank(z: DataFrame, req: DataFrame | None = None, reverse: bool = False) ->
     """(key, member, rank) from 0. For few requests, rank is a count of what stands before, so no set is sorted."""
     if req is None:
         return z.select("key", "member", (_rn(reverse) - 1).cast("long").alias("rank"))
-    at = req.join(z, ["key", "member"]).select("key", "member", F.col("score").alias("s"), F.col("member").alias("m"))
-    o = z.select("key", "score", F.col("member").alias("other"))
-    before = (o["score"] > at["s"]) | ((o["score"] == at["s"]) & (o["other"] > at["m"])) if reverse else (o["score"] < at["s"]) | ((o["score"] == at["s"]) & (o["other"] < at["m"]))
-    return at.join(o, "key").groupBy("key", "member").agg(F.count_if(before).alias("rank"))
+    at = req.join(z, ["key", "member"]).select("key", F.col("member").alias("m"), F.col("score").alias("s"))
+    before = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") > F.col("m"))) if reverse else (F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") < F.col("m")))
+    return z.join(at, "key").groupBy("key", "m").agg(F.count_if(before).alias("rank")).withColumnRenamed("m", "member")
 
 
 def zrange(z: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:

@@ -35,7 +35,7 @@ hash_fields AS (SELECT 'nation:' || n_nationkey AS key, f AS field, CASE f WHEN
 set_members AS (SELECT DISTINCT o_orderpriority AS key, o_custkey AS member FROM orders),
 zset AS (SELECT c_mktsegment AS key, c_name AS member, c_acctbal AS score FROM customer),
 list_items AS (SELECT conv_id AS key, turn AS pos, role AS value FROM conversations),
-stream_entries AS (SELECT event_type AS key, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY event_type, epoch_ms(ts) ORDER BY event_id) - 1 AS seq, event_id, user_id, value AS val FROM events),
+stream_entries AS (SELECT event_type AS key, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY event_type, (epoch_us(ts) // 1000) ORDER BY event_id) - 1 AS seq, event_id, user_id, value AS val FROM events),
 stream_pel AS (SELECT key, 'g' AS "group", 'c' || (user_id % 5) AS consumer, ms, seq, ms + user_id * 10 AS delivered_ms, 1 + user_id % 3 AS deliveries FROM stream_entries),
 bits AS (SELECT DISTINCT event_type AS key, user_id AS "offset" FROM events),
 geo AS (SELECT c_mktsegment AS key, c_name AS member, ((c_custkey * 7919) % 360000) / 1000.0 - 180 AS lon, ((c_custkey * 104729) % 170000) / 1000.0 - 85 AS lat FROM customer)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.queries import keyspace  # noqa: F401  registers its queries
+from tessera.queries import documents, keyspace, ranked  # noqa: F401  they register their queries
 from tessera.queries.base import QUERIES, SQL
 
 
