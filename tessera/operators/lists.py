@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from tessera.errors import CommandError
 from tessera.functions.text import clamp_range
 
-_ASC = Window.partitionBy("key").orderBy("pos")
-
-
 def _ranked(items: DataFrame) -> DataFrame:
     """Items with idx, from 0, and n, their list's length."""
-    return items.withColumns({"idx": F.row_number().over(_ASC) - 1, "n": F.count("*").over(Window.partitionBy("key"))})
+    return items.withColumns({"idx": F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1, "n": F.count("*").over(Window.partitionBy("key"))})
 
 
 def push(items: DataFrame, new: DataFrame, left: bool = False) -> DataFrame:
