@@ -16,6 +16,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces whose ids a worker remembers; the cache starts anew when it is full.
 CACHE = 400_000
@@ -278,6 +280,7 @@ def encode(df: DataFrame, text: str = "text", *, keep: Sequence[str] | None = No
     no ids. Columns of df with these names are replaced. Rows are handled in slices of a few million characters,
     and a long text alone.
     """
+    bounded_batches(df.sparkSession)
     kept = [c for c in (df.columns if keep is None else keep) if c not in outputs]
     given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, written
+from tessera.llm.common import bounded_batches, held_out, written
 
 STATES, ITERATIONS, SEED = 4, 4, 3
 #: Pseudo-counts by which a state first prefers to stay.
@@ -312,6 +312,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
     text is an empty one: its only token is the end. With no training document all words are unknown and
     the states keep their first guess. Repeated rows count as often as they occur. Scores are log10.
     """
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id), folds).alias("held_out"))
     learning = given.where(~F.col("held_out"))
     counts = written(count_words(learning))

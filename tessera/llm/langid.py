@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, held_out
+from tessera.llm.common import bounded_batches, held_out
 
 UNDETERMINED = "und"
 #: Lengths of the n-grams, and bits of the space they are hashed into.
@@ -152,6 +152,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
     Inverse document frequencies count all rows; the weights are fitted on at most `max_docs` rows, as many of
     each language, chosen by a hash of the key. With no row, the model knows no language and predicts `und`.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = dict(map(tuple, rows.select("text").mapInArrow(_document_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect()))  # one row for each bucket
@@ -180,6 +181,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -
 
     Only the text is read. Columns of df with these names are replaced; all others stay, row by row.
     """
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded
 
     @F.pandas_udf("lang_pred string, score double")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.automata import Automaton, infer
+from tessera.llm.common import bounded_batches
 
 BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -136,6 +137,7 @@ def scan(df: DataFrame, text: str = "text", scorer: Scorer | None = None, prefix
     [kind], overlapping ones as the first of them. A null text is searched as an empty one and stays null.
     Columns of df with these names are replaced; all others stay, row by row.
     """
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(scorer or train())
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
