@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import bounded_batches, shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -33,8 +33,8 @@ BITS_PER_KEY, PROBES = 10, 7
 MAGIC = b"TSSTAB01"
 _FOOTER = struct.Struct("<QQQQQQB8s")  # index offset and size, Bloom offset and size, documents, ids, width, magic
 _INDEX = struct.Struct("<QIIQH")  # offset, size, entries, ids before, key bytes
-#: Words whose ids a worker remembers, and the longest word remembered.
-CACHE, CACHED_WORD = 500_000, 64
+#: Words of a generation whose ids a worker remembers (it keeps two), and the longest word remembered.
+CACHE, CACHED_WORD = 600_000, 64
 
 
 def pack_key(doc_id: int | None) -> bytes:
@@ -183,21 +183,33 @@ class WordEncoder:
     def __init__(self, path: str, width: int) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.cache = {2: "<u2", 4: "<u4"}[width], {}
+        self.kind = {2: "<u2", 4: "<u4"}[width]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _made(self, new: list[bytes]) -> Iterator[bytes]:
+        """Packed ids of each word. One call encodes them all as words of one sequence."""
+        got = self.tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(got.ids, self.kind), np.array(got.word_ids, np.int64)
+        cuts = np.searchsorted(of, np.arange(len(new) + 1)) * ids.itemsize
+        raw = ids.tobytes()
+        return (raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         docs = [(t or "").encode().split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list({w for d in docs for w in d if w not in cache})
-        made = [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        cache.update(zip(new, made, strict=True))
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        far = {w for d in docs for w in d if w not in young}
+        young.update((w, old[w]) for w in far if w in old)
+        new = [w for w in far if w not in young]
+        if new:
+            young.update(zip(new, self._made(new), strict=True))
         tail = np.array([end], self.kind).tobytes()
-        out = [b"".join(map(cache.__getitem__, d)) + tail for d in docs]
+        out = [b"".join(map(young.__getitem__, d)) + tail for d in docs]
         for w in new:
             if len(w) > CACHED_WORD:
-                del cache[w]
+                del young[w]
         return out
 
 
@@ -216,6 +228,7 @@ def write_shards(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text:
     stay together, ordered by their ids' bytes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx(F.col(doc_id).cast("long"), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
