@@ -41,11 +41,13 @@ class Typed:
             return isinstance(kind, (T.StringType, T.CharType, T.VarcharType))
         return value is not None and isinstance(kind, T.NumericType)
 
-    def equals(self, path: str, value: Literal) -> Column:
+    def fits(self, path: str, value: Literal) -> bool:
+        """Whether the path's type can equal the value at all."""
         kind = self._kind(path)
-        if kind is None or not self._literal_fits(kind, value):
-            return F.lit(False)
-        return self._column(path) == F.lit(value)
+        return kind is not None and self._literal_fits(kind, value)
+
+    def equals(self, path: str, value: Literal) -> Column:
+        return self._column(path) == F.lit(value) if self.fits(path, value) else F.lit(False)
 
     def ordered(self, path: str, op: str, value: float) -> Column:
         kind = self._kind(path)
@@ -133,6 +135,38 @@ def compile_where(expr: Expr | str, of: Typed | Variant) -> Column:
     raise TypeError(expr)
 
 
+def filter_condition(expr: Expr | str, of: Typed | Variant) -> Column:
+    """A Column that keeps the same rows in a filter, where null is as good as false.
+
+    Without the guards that make compile_where's Columns never null, comparisons on typed columns reach the
+    scan. Under NOT the guards stay.
+    """
+    if isinstance(expr, str):
+        expr = parse_where(expr)
+    match expr:
+        case And(a, b):
+            return filter_condition(a, of) & filter_condition(b, of)
+        case Or(a, b):
+            return filter_condition(a, of) | filter_condition(b, of)
+        case Exists(path):
+            return of.exists(path)
+        case In(path, values):
+            out = of.equals(path, values[0])
+            for v in values[1:]:
+                out = out | of.equals(path, v)
+            return out
+        case Compare(path, "=", value):
+            return of.equals(path, value)
+        case Compare(path, "!=", value) if isinstance(of, Typed) and of.fits(path, value):
+            c = of._column(path)
+            return c.isNull() | (c != F.lit(value))
+        case Compare(path, ">" | ">=" | "<" | "<=" as op, value):
+            return of.ordered(path, op, value)
+        case Compare(path, "CONTAINS", value):
+            return of.contains(path, value)
+    return compile_where(expr, of)
+
+
 def where(df: DataFrame, expr: Expr | str, body: str | None = None) -> DataFrame:
     """Rows of df that meet the expression, on typed columns or, with `body`, on that VARIANT column."""
-    return df.where(compile_where(expr, Variant(body) if body else Typed(df.schema)))
+    return df.where(filter_condition(expr, Variant(body) if body else Typed(df.schema)))

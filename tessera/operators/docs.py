@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.errors import CommandError
 from tessera.functions.predicates import Typed, Variant, compile_where
+from tessera.functions.predicates import where as where_
 from tessera.plans.where import Find
 
 SCHEMA = "doc_seq long, doc_id string, body variant"
@@ -42,7 +43,7 @@ def _project(df: DataFrame, paths: tuple[str, ...]) -> list[Column]:
 
 def find(df: DataFrame, q: Find, seq: str) -> DataFrame:
     """WHERE, then ORDER BY (missing last; first under DESC), then OFFSET and LIMIT, then PROJECT. Ties and unordered results follow seq."""
-    out = df.where(compile_where(q.where, Typed(df.schema)))
+    out = where_(df, q.where)
     order = [F.col(seq).asc()]
     if q.order_by and leaf(df, q.order_by):
         c = Typed._column(q.order_by)
@@ -55,7 +56,7 @@ def find(df: DataFrame, q: Find, seq: str) -> DataFrame:
 
 
 def count(df: DataFrame, where: str) -> DataFrame:
-    return df.where(compile_where(where, Typed(df.schema))).agg(F.count("*").alias("n"))
+    return where_(df, where).agg(F.count("*").alias("n"))
 
 
 # --- over VARIANT bodies
@@ -70,7 +71,7 @@ def _sort_keys(path: str) -> list[Column]:
 
 def find_variant(docs: DataFrame, q: Find) -> DataFrame:
     """As find; with PROJECT, (doc_seq, doc_id) and one VARIANT column for each path."""
-    out = docs.where(compile_where(q.where, Variant("body")))
+    out = where_(docs, q.where, "body")
     order = [F.asc("doc_seq")]
     if q.order_by:
         order = [c.desc_nulls_first() if q.descending else c.asc_nulls_last() for c in _sort_keys(q.order_by)] + order
@@ -84,7 +85,7 @@ def find_variant(docs: DataFrame, q: Find) -> DataFrame:
 
 
 def count_variant(docs: DataFrame, where: str) -> DataFrame:
-    return docs.where(compile_where(where, Variant("body"))).agg(F.count("*").alias("n"))
+    return where_(docs, where, "body").agg(F.count("*").alias("n"))
 
 
 def checked_body(text: Column) -> Column:
