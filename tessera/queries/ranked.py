@@ -343,7 +343,7 @@ def _lengths(t: T) -> DataFrame:
     return t.bits.groupBy("key").agg((F.floor(F.max("offset") / 8) + 1).alias("n"))
 
 
-@query("SELECT key, min(\"offset\") AS pos FROM bits WHERE \"offset\" >= 24 GROUP BY key")
+@query("SELECT key, coalesce(min(\"offset\") FILTER (\"offset\" >= 24), -1) AS pos FROM bits GROUP BY key")
 def bitmap_bitpos_one(t: T) -> DataFrame:
     return bitmaps.bitpos(_bm(t), _lengths(t), 1, 3)
 
