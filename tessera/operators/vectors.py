@@ -47,12 +47,27 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", inde
     return some.select("id", METRICS[metric](F.col("vec"), q).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+#: Queries of a block, which is broadcast (with 64 values about 30 MB).
+QUERY_BLOCK = 50_000
+
+
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """(qid, id, distance, rank) of the k nearest of each query(qid, vec): queries are joined in blocks, and a window keeps k of each as early as in the task that made them."""
+    """(qid, id, distance, rank) of the k nearest of each query(qid, vec).
+
+    Queries go to the vectors in blocks of a bounded size; the window keeps k rows of each query in the task
+    that made them, and only those are shuffled.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
     d = METRICS[metric](F.col("vec"), F.col("q"))
-    pairs = vectors.select("id", "vec").join(queries.select("qid", F.col("vec").alias("q")), F.size("vec") == F.size("q"))
     w = Window.partitionBy("qid").orderBy("distance", "id")
-    return pairs.select("qid", "id", d.alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
+        pairs = vectors.select("id", "vec").crossJoin(F.broadcast(block.select("qid", F.col("vec").alias("q")))).where(F.size("vec") == F.size("q"))
+        near = pairs.select("qid", "id", d.alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = near if out is None else out.unionByName(near)
+    return out
 
 
 def vecdel(vectors: DataFrame, index: str) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import vectors
 from tessera.queries import registry
 from tessera.sources import resp, snapshot
 from tessera.streaming import cdc, windows
@@ -46,6 +47,23 @@ def test_query(spark, duck, name):
     assert rows(got.select(*[F.col(f"`{c}`") for c in cols]).collect()) == rows(want.select(picked).fetchall())
 
 
+@needs_tables
+def test_cells_reach_nine_tenths_recall(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.lit("main").alias("index"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    index = vectors.CellIndex(v, 8)
+    queries = v.where("id % 50 = 0").orderBy("id").collect()
+    hits = sum(len({r["id"] for r in index.search(q["vec"], 10, 6).collect()} & {r["id"] for r in vectors.knn(v, q["vec"], 10).collect()}) for q in queries)
+    assert hits >= 0.9 * 10 * len(queries)
+
+
+def test_blocks_of_queries_give_the_same_neighbours(spark, monkeypatch):
+    v = spark.range(60).select(F.lit("i").alias("index"), "id", F.array(*[F.sin(F.col("id") * d).cast("float") for d in range(1, 5)]).alias("vec"))
+    q = v.select(F.col("id").alias("qid"), "vec")
+    whole = sorted(map(tuple, vectors.knn_join(v, q, 3).collect()))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 20)
+    assert sorted(map(tuple, vectors.knn_join(v, q, 3).collect())) == whole
+
+
 @needs_tables
 def test_windows_of_a_stream_equal_the_batch(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
