@@ -62,7 +62,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 #: Rows of an Arrow batch. Documents can be long, so that Spark's default of 10,000 would hold tens of MB for each task in both processes.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -12,6 +12,8 @@ WINDOW = 13
 RATIO = 20
 #: Windows of the benchmark up to which their hashes are broadcast (24 bytes each); beyond, Spark shuffles instead.
 BROADCAST_WINDOWS = 2_000_000
+#: Documents with hits up to which they are broadcast (24 bytes each) to the scan that removes them.
+BROADCAST_HITS = 500_000
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -110,8 +112,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documen
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
-    found = find_hits(docs, benchmark, doc_id=doc_id, text=text, window=window)
-    joined = _with_hits(docs, found, doc_id, text)
+    found = written(find_hits(docs, benchmark, doc_id=doc_id, text=text, window=window))
+    if mode == "documents":
+        found = found.withColumn("spans", F.lit(None)).withColumn("items", F.lit(None))
+    joined = _with_hits(docs, F.broadcast(found) if mode == "documents" and found.count() <= BROADCAST_HITS else found, doc_id, text)
     if mode == "documents":
         bad = contaminated(F.coalesce("_n_hit", F.lit(0).cast("long")), n_words(F.col(text)), ratio)
         return joined.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -166,11 +166,11 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
     # a threshold on the hash keeps about `each` rows of a language; ties of equal keys stay in a fixed order
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.1 * each / n))])
     picked = rows.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).orderBy("h", "lang", F.xxhash64("text")).limit(max_docs)
-    sample = picked.select("lang", F.pmod(F.xxhash64("h"), F.lit(CALIBRATION)).alias("fold"), "text").mapInArrow(_features, "lang string, fold long, at array<int>, n array<long>").collect()
-    feats = [tf_idf((np.array(r["at"], np.int64), np.array(r["n"])), idf) for r in sample]
-    y = np.array([languages.index(r["lang"]) for r in sample], np.int64)
-    aside = np.array([r["fold"] == 0 for r in sample], bool)
-    fit = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(sample))
+    sample = picked.select("lang", F.pmod(F.xxhash64("h"), F.lit(CALIBRATION)).alias("fold"), "text").mapInArrow(_features, "lang string, fold long, at array<int>, n array<long>").toArrow().to_batches()
+    feats = [tf_idf((at.values.to_numpy().astype(np.int64), n.values.to_numpy()), idf) for b in sample for at, n in zip(b.column("at"), b.column("n"), strict=True)]
+    y = np.array([languages.index(x) for b in sample for x in b.column("lang").to_pylist()], np.int64)
+    aside = np.array([x == 0 for b in sample for x in b.column("fold").to_pylist()], bool)
+    fit = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(y))
     w, b = fit_ftrl([feats[i] for i in fit], y[fit], len(languages), 1 << BITS)
     logits = np.array([feats[i][1] @ w[feats[i][0]] + b for i in np.flatnonzero(aside)]).reshape(-1, len(languages))
     return Model(languages, idf.astype(np.float32), w.astype(np.float32), b, fit_temperature(logits, y[aside]))
