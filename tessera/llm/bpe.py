@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces whose ids a worker remembers; the cache starts anew when it is full.
-CACHE = 400_000
+#: Pieces whose ids a task remembers; the cache starts anew when it is full.
+CACHE = 200_000
 #: Characters that are pre-tokenised at once; a longer text is one block of its own.
 BLOCK = 1 << 20
 
@@ -295,6 +295,7 @@ def encode(df: DataFrame, text: str = "text", *, keep: Sequence[str] | None = No
                 part = batch.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *_columns(part.column(len(kept)).to_pylist(), path, outputs)], [*kept, *outputs])
                 at = stop
+        encoder(path).cache.clear()  # an idle worker holds the ranks only
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]] + [f"{k} {OUTPUTS[k][1]}" for k in outputs])
     return given.mapInArrow(run, schema)
