@@ -27,8 +27,6 @@ MIN_CANDIDATE = 16
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
 #: Bits by which a format must explain a candidate better than ordinary text, in all and for each character.
 MIN_BITS, MIN_BITS_PER_CHAR = 24.0, 0.5
-#: Longest candidate of a format, as a multiple of its longest labelled example.
-MAX_STRETCH = 2
 EXAMPLES, SEED = 300, 11
 
 _UPPER, _LOWER, _DIGIT = string.ascii_uppercase, string.ascii_lowercase, string.digits
@@ -41,7 +39,7 @@ FORMATS: dict[str, tuple] = {
     "gitlab": ("glpat-", (_ALNUM + "-_", 20)),
     "google": ("AIza", (_ALNUM + "-_", 35)),
     "hex-upper": ((_DIGIT + "ABCDEF", (32, 40, 64)),),
-    "jwt": ("eyJhbGciOi", (_ALNUM, (10, 26)), ".eyJ", (_ALNUM + "-_", (30, 80)), ".", (_ALNUM + "-_", 43)),
+    "jwt": ("eyJhbGciOi", (_ALNUM, (10, 26)), ".eyJ", (_ALNUM + "-_", (30, 80, 160, 320, 640)), ".", (_ALNUM + "-_", (43, 64, 86, 342, 683))),
     "npm": ("npm_", (_ALNUM, 36)),
     "sendgrid": ("SG.", (_ALNUM + "-_", 22), ".", (_ALNUM + "-_", 43)),
     "slack": ("xox", ("abprs", 1), "-", (_DIGIT, 12), "-", (_DIGIT, 12), "-", (_ALNUM, 24)),
@@ -68,9 +66,9 @@ def labelled_credentials(n: int = EXAMPLES, seed: int = SEED) -> dict[str, list[
 
 @dataclass(frozen=True)
 class Scorer:
-    """One automaton for each format, its longest example, and log2 frequencies of ordinary characters after one another."""
+    """One automaton for each format, and log2 frequencies of ordinary characters after one another."""
 
-    formats: tuple[tuple[str, Automaton, int], ...]
+    formats: tuple[tuple[str, Automaton], ...]
     ordinary: dict[tuple[str, str], float]
 
     def background(self, s: str) -> float:
@@ -80,8 +78,8 @@ class Scorer:
     def best(self, s: str) -> tuple[str | None, float]:
         """The most likely format and the bits by which it beats ordinary text; None where none does by enough."""
         base, found = None, (-math.inf, "")
-        for kind, automaton, longest in self.formats:
-            if len(s) <= MAX_STRETCH * longest and (p := automaton.log2_likelihood(s)) > -math.inf:
+        for kind, automaton in self.formats:
+            if (p := automaton.log2_likelihood(s)) > -math.inf:
                 base = self.background(s) if base is None else base
                 found = max(found, (p - base, kind))
         ok = found[0] >= max(MIN_BITS, MIN_BITS_PER_CHAR * len(s))
@@ -99,7 +97,7 @@ def train(n: int = EXAMPLES, seed: int = SEED) -> Scorer:
             firsts[a] = firsts.get(a, 0) + 1
     chars = sorted(set(_ALNUM + "+/_.=-"))
     ordinary = {(a, b): math.log2((pairs.get((a, b), 0) + 0.5) / (firsts.get(a, 0) + 0.5 * len(chars))) for a in [" ", *chars] for b in chars}
-    return Scorer(tuple((k, infer(labelled[k]), max(map(len, labelled[k]))) for k in FORMATS), ordinary)
+    return Scorer(tuple((k, infer(labelled[k])) for k in FORMATS), ordinary)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

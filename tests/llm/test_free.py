@@ -102,6 +102,17 @@ def test_formats_are_learned_and_ordinary_text_is_left():
     assert secrets.redact(text, secrets.find(text, scorer)) == "see [github]. and docs.example.com/path_to-page2024/index.html"
 
 
+@pytest.mark.parametrize("signature", [43, 86, 342, 512, 683])
+def test_tokens_of_every_length_are_scored(signature):
+    r, scorer = random.Random(signature), secrets.train()
+    draw = lambda n: base64.urlsafe_b64encode(r.randbytes(n))[:n].decode()
+    for payload in (40, 120, 250, 500, 1000, 3000):
+        head = base64.urlsafe_b64encode(b'{"alg":"RS256","typ":"JWT"}').decode().strip("=")
+        body = base64.urlsafe_b64encode(b'{"sub":"' + draw(payload).encode() + b'","iat":1516239022}').decode().strip("=")
+        key = f"{head}.{body}.A{draw(signature - 2)}A"
+        assert secrets.find(f"see {key}, here", scorer) == [(4, 4 + len(key), "jwt")], payload
+
+
 def test_automaton_is_a_distribution():
     a = automata.infer(["ab1", "ab2", "ab12", "ab21"] * 50)
     total = sum(2 ** a.log2_likelihood("ab" + "".join(t)) for n in range(1, 9) for t in itertools.product("12", repeat=n))
