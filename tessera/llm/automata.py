@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 STOP = ""
@@ -94,16 +95,30 @@ class Automaton:
     by_class: tuple[dict[str, tuple[int, float]], ...]
     stop: tuple[float, ...]
 
+    def way(self, at: int, c: str) -> tuple[int, float] | None:
+        return self.step[at].get(c) or self.by_class[at].get(char_class(c))
+
     def log2_likelihood(self, s: str) -> float:
         at, total = 0, 0.0
         for c in s:
-            way = self.step[at].get(c) or self.by_class[at].get(char_class(c))
+            way = self.way(at, c)
             if way is None:
                 return -math.inf
             at, p = way
             total += p
         return total + self.stop[at]
 
+    def walk(self, s: str, start: int) -> Iterator[tuple[int, float, float]]:
+        """(end, log2 likelihood of s[start:end] without the stop, that of the stop) after each symbol, as far as the automaton goes."""
+        at, total = 0, 0.0
+        for k in range(start, len(s)):
+            way = self.way(at, s[k])
+            if way is None:
+                return
+            at, p = way
+            total += p
+            yield k + 1, total, self.stop[at]
+
 
 def infer(strings: list[str]) -> Automaton:
     """A probabilistic automaton of the strings: tree states in breadth-first order merge into the most alike compatible state."""

@@ -22,9 +22,12 @@ BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGNED = 8
-#: What is scored: whole runs of credential characters, of at least so many, with a digit among them.
+#: What is scored: runs of credential characters, of at least so many, with a digit among them, and their parts that start after a sign.
 MIN_CANDIDATE = 16
+_SIGNS = "+/_.=-"
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
+#: Signs in a run from which hopeless starts are sorted out first; the hits are the same.
+MANY_STARTS = 32
 #: Bits by which a format must explain a candidate better than ordinary text, in all and for each character.
 MIN_BITS, MIN_BITS_PER_CHAR = 24.0, 0.5
 EXAMPLES, SEED = 300, 11
@@ -82,8 +85,41 @@ class Scorer:
             if (p := automaton.log2_likelihood(s)) > -math.inf:
                 base = self.background(s) if base is None else base
                 found = max(found, (p - base, kind))
-        ok = found[0] >= max(MIN_BITS, MIN_BITS_PER_CHAR * len(s))
-        return (found[1] if ok else None), found[0]
+        return (found[1] if _enough(found[0], len(s)) else None), found[0]
+
+    def longest(self, s: str, at: int) -> tuple[int, str] | None:
+        """End and format of the part of s from `at` that beats ordinary text by the most bits; it ends with s or before a sign."""
+        found = (-math.inf, 0, "")
+        for kind, automaton in self.formats:
+            base, before = 0.0, " "
+            for k, p, stop in automaton.walk(s, at):
+                base += self.ordinary.get((before, s[k - 1]), -12.0)
+                before = s[k - 1]
+                if k - at >= MIN_CANDIDATE and (k == len(s) or s[k] in _SIGNS) and _enough(p + stop - base, k - at):
+                    found = max(found, (p + stop - base, k, kind))
+        return found[1:] if found[2] else None
+
+
+    def hopeful(self, s: str) -> list[bool]:
+        """Whether a part of s from each place can be enough for any format, by the most that its best way on may bring; one pass back."""
+        out = [False] * len(s)
+        for _, automaton in self.formats:
+            states = range(len(automaton.stop))
+            bits, rest = list(automaton.stop), list(automaton.stop)  # the most from the place after, in all and beyond MIN_BITS_PER_CHAR
+            for k in range(len(s) - 1, -1, -1):
+                ways = [automaton.way(q, s[k]) for q in states]
+                if ways[0]:
+                    to, p = ways[0]
+                    p -= self.ordinary.get((" ", s[k]), -12.0)
+                    out[k] |= p + bits[to] >= MIN_BITS - 1e-6 and p - MIN_BITS_PER_CHAR + rest[to] >= -1e-6
+                base = self.ordinary.get((s[k - 1], s[k]), -12.0) if k else 0.0
+                bits = [max(automaton.stop[q], w[1] - base + bits[w[0]]) if w else automaton.stop[q] for q, w in enumerate(ways)]
+                rest = [max(automaton.stop[q], w[1] - base - MIN_BITS_PER_CHAR + rest[w[0]]) if w else automaton.stop[q] for q, w in enumerate(ways)]
+        return out
+
+
+def _enough(bits: float, n: int) -> bool:
+    return bits >= max(MIN_BITS, MIN_BITS_PER_CHAR * n)
 
 
 @lru_cache(maxsize=4)
@@ -108,19 +144,45 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _outside(a: int, b: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What the spans of `base`, sorted by their starts, leave of [a, b)."""
+    for x, y, _ in base:
+        if a < y and x < b:
+            if a < x:
+                yield a, x
+            a = max(a, y)
+    if a < b:
+        yield a, b
+
+
+def _hits(s: str, scorer: Scorer) -> Iterator[tuple[int, int, str]]:
+    """The credentials of a run, leftmost and non-overlapping: all that is left of it, or the best part from a start or after a sign."""
+    # a run may end in a stop or start with a quoted key; the credential itself has neither
+    at, whole = 0, len(s.rstrip(".=-/+"))
+    # without this, a long run of many starts would be walked from each of them
+    hopeful = scorer.hopeful(s) if sum(map(s.count, _SIGNS)) > MANY_STARTS else None
+    while whole - at >= MIN_CANDIDATE:
+        if s[at] in _SIGNS or (at and s[at - 1] not in _SIGNS) or (hopeful and not hopeful[at]):
+            at += 1
+        elif kind := scorer.best(s[at:whole])[0]:
+            yield at, whole, kind
+            return
+        elif part := scorer.longest(s, at):
+            yield at, *part
+            at = part[0]
+        else:
+            at += 1
+
+
 def find(text: str | None, scorer: Scorer) -> list[tuple[int, int, str]]:
-    """All spans of a whole text: the base ones, and candidates that touch none of them and fit a format."""
+    """All spans of a whole text: the base ones, and the credentials in what they leave of each run of candidate characters."""
     text = text or ""
     base = base_spans(text)
     out = list(base)
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if any("0" <= c <= "9" for c in s) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-            # a run may end in a stop or start with a quoted key; the credential itself has neither
-            core = s.strip(".=-/+")
-            at = m.start() + s.index(core) if core else m.start()
-            if len(core) >= MIN_CANDIDATE and (kind := scorer.best(core)[0]):
-                out.append((at, at + len(core), kind))
+        if any("0" <= c <= "9" for c in m[0]):
+            for a, b in _outside(m.start(), m.end(), base):
+                out += [(a + x, a + y, kind) for x, y, kind in _hits(text[a:b], scorer)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

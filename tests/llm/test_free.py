@@ -113,6 +113,36 @@ def test_tokens_of_every_length_are_scored(signature):
         assert secrets.find(f"see {key}, here", scorer) == [(4, 4 + len(key), "jwt")], payload
 
 
+@pytest.mark.parametrize("kind", secrets.FORMATS)
+def test_credentials_within_runs_are_found(kind):
+    scorer = secrets.train()
+    alone = [k for k in secrets.labelled_credentials(20, seed=78)[kind] if k[-1] not in secrets._SIGNS and secrets.find(k, scorer) == [(0, len(k), scorer.best(k)[0])]]
+    assert len(alone) >= 14
+    for before, after in (("GH_PAT=", ""), ("https://a.io/v1?key=", "&x=1"), ("https://a.io/", "/get"), ("NPM_AUTH=", "."), ("id=0123456789abcdef0123456789abcdef/", "")):
+        at = len(before)
+        got = [(at, at + len(k)) in {x[:2] for x in secrets.find(before + k + after, scorer)} for k in alone]
+        assert np.mean(got) >= 0.9, (before, after)
+    for before in ("k-", "my_", "a/b+"):
+        got = [k not in secrets.redact(before + k, secrets.find(before + k, scorer)) for k in alone]
+        assert np.mean(got) >= 0.9, before
+    two = f"keys={alone[0]}/{alone[1]}"
+    assert not any(k in secrets.redact(two, secrets.find(two, scorer)) for k in alone[:2])
+
+
+def test_long_runs_of_many_starts(monkeypatch):
+    r, scorer = random.Random(9), secrets.train()
+    keys = [k for v in secrets.labelled_credentials(5, seed=79).values() for k in v]
+    runs = ["".join(r.choice((r.choice(keys), r.choice(("the", "on", "2024", "a", "x1")))) + r.choice(secrets._SIGNS) for _ in range(r.randint(5, 60))) for _ in range(60)]
+    got = [secrets.find(s, scorer) for s in runs]
+    monkeypatch.setattr(secrets, "MANY_STARTS", 10**9)
+    assert got == [secrets.find(s, scorer) for s in runs]
+    monkeypatch.undo()
+    key = keys[5]
+    long = "a-1-the-" * 5000
+    assert secrets.find(long, scorer) == []
+    assert key not in secrets.redact(f"{long}={key}", secrets.find(f"{long}={key}", scorer))
+
+
 def test_automaton_is_a_distribution():
     a = automata.infer(["ab1", "ab2", "ab12", "ab21"] * 50)
     total = sum(2 ** a.log2_likelihood("ab" + "".join(t)) for n in range(1, 9) for t in itertools.product("12", repeat=n))
