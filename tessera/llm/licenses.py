@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +79,68 @@ PERMISSIVE = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.
 #: Where a sentence ends: a line's end, or a stop before white space or the text's end.
 _END = r"\n|[.;:]+([\x20\x09-\x0D]+|$)"
 _GAP = "[^a-z0-9]+"
+# Titles that stand for a licence, and the names that notices in other words give it, as what they are reported.
+TITLES = {
+    "the mit license": "mit-title",
+    "mit license": "mit-title",
+    "the mit license mit": "mit-title",
+    "mit license mit": "mit-title",
+    "apache license version 2 0": "apache2-title",
+    "apache license version 2 0 january 2004": "apache2-title",
+    "bsd 2 clause license": "bsd2-title",
+    "the bsd 2 clause license": "bsd2-title",
+    "bsd 3 clause license": "bsd3-title",
+    "the bsd 3 clause license": "bsd3-title",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "mozilla public license version 2 0": "mpl2-title",
+}
+NAMES = {
+    "apache license version 2 0": "apache2-notice",
+    "apache license 2 0": "apache2-notice",
+    "apache 2 0 license": "apache2-notice",
+    "mit license": "mit-notice",
+    "gnu general public license version 3": "gpl3-notice-bare",
+    "bsd 3 clause license": "bsd3-notice",
+    "3 clause bsd license": "bsd3-notice",
+    "cc by nc 4 0": "ccbync4-notice",
+    "cc by 4 0": "ccby4-notice",
+    "cc by sa 4 0": "ccbysa4-notice",
+    "creative commons attribution 4 0 international license": "ccby4-notice-long",
+    "mozilla public license version 2 0": "mpl2-notice",
+    "mozilla public license v 2 0": "mpl2-notice",
+}
+TITLE_RULES = (
+    ("Apache-2.0", ("apache2-title",)),
+    ("BSD-2-Clause", ("bsd2-title",)),
+    ("BSD-3-Clause", ("bsd3-title",)),
+    ("GPL-3.0-only", ("gpl3-title",)),
+    ("MIT", ("mit-title",)),
+    ("MPL-2.0", ("mpl2-title",)),
+)
+#: How a notice in other words leads to the name: `[this ... is] licensed under [the terms of] [the]`.
+_LEAD = "(?:(?:(?:this|the|our|all) )?(?:(?!(?:this|the|our|all) )[a-z0-9]+ ){1,3}(?:is|are) )?(?:(?:re)?licensed|released|distributed|published|provided|available|made available) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?"
+#: Between two words of a sentence: at most one line's end or stop, and a comment sign that is a word.
+_BREAK = r"(?: \|)?(?: (?:dnl|rem))? "
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
-    norm = F.transform(F.split(F.coalesce(text, F.lit("")), _END), lambda s: F.trim(F.regexp_replace(ascii_lower(s), _GAP, " ")))
-    return F.transform(F.filter(norm, lambda s: s.isin(list(sentences.values()))), lambda s: F.element_at(known, s))
+def _any(sentences: Iterable[str], between: str = " ") -> str:
+    return "|".join(x.replace(" ", between) for x in sorted(sentences, key=lambda x: (-len(x), x)))
+
+
+def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES, titles: dict[str, str] = TITLES, names: dict[str, str] = NAMES) -> Column:
+    """The identifiers of the known sentences of a text, in order: sentences, titles and notices that start and end as a line or a sentence does.
+
+    Line ends and stops within them count as blanks, so wrapped and commented texts match. What matches without one goes first.
+    """
+    known = titles | {v: k for k, v in sentences.items()}
+    ways = [_any(known), _any(known, _BREAK), _LEAD.replace(" ", _BREAK) + f"(?:{_any(names, _BREAK)})(?:{_BREAK}license)?"]
+    found = r"\|(?: (?:dnl|rem))? (?:" + "|".join(f"(?:{w})(?= \\|)" for w in ways) + ")"
+    line = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "|" + UPPER, " " + LOWER), r"\n[\x20\x09]*;+[\x20\x09]*|" + _END, " | ")
+    line = F.concat(F.lit("| "), F.trim(F.regexp_replace(line, "[^a-z0-9|]+", " ")), F.lit(" |"))
+    plain = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\|( (dnl|rem)(?= ))?", " "), " +", " "))
+    ids, other = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (known, names))
+    name = lambda s: F.regexp_replace(F.regexp_replace(s, f"^{_LEAD}", ""), f"^({_any(names)}) license$", "$1")
+    return F.transform(F.transform(F.regexp_extract_all(line, F.lit(found), 0), plain), lambda s: F.coalesce(F.try_element_at(ids, s), F.try_element_at(other, s), F.try_element_at(other, name(s))))
 
 
 def _pattern(seq: tuple[str, ...]) -> str:
@@ -91,7 +148,7 @@ def _pattern(seq: tuple[str, ...]) -> str:
     return "%" + "".join(f"<{x}>%" for x in seq)
 
 
-def licences_of(ids: Column, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES, hides: dict[str, str] = HIDES) -> Column:
+def licences_of(ids: Column, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES + TITLE_RULES, hides: dict[str, str] = HIDES) -> Column:
     """The sorted distinct licences whose rules the identifier sequence meets."""
 
     def found(line: Column) -> Column:
@@ -104,7 +161,7 @@ def licences_of(ids: Column, rules: tuple[tuple[str, tuple[str, ...]], ...] = RU
     return F.array_compact(let(line, found))
 
 
-def scan(df: DataFrame, text: str = "text", *, sentences: dict[str, str] = SENTENCES, rules=RULES, hides=HIDES, permissive=PERMISSIVE) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", *, sentences: dict[str, str] = SENTENCES, rules=RULES + TITLE_RULES, hides=HIDES, permissive=PERMISSIVE) -> DataFrame:
     """df with sentence_ids and licences (arrays) and use: none, permissive (every licence found is) or restricted.
 
     Null and empty texts have no sentences and no licences. A sentence counts wherever it stands in the

@@ -1,6 +1,7 @@
 """Decontamination, quality and licence operators: SQL on whole tables, edge cases by hand."""
 
 import os
+import textwrap
 
 import duckdb
 import pytest
@@ -94,6 +95,62 @@ def test_licence_sequences_follow_their_order(spark):
     }
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+ENDORSE = """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+APACHE = """you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_wrapped_and_commented_licences(spark):
+    whole = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + ENDORSE, "GPL-3.0-or-later": GPL, "Apache-2.0": APACHE}
+    rows, want = [], []
+    for name, text in whole.items():
+        for width in (40, 72, 80, 1000):
+            for sign in ("", "// ", "# ", " * ", "dnl ", "\t;; "):
+                lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part.strip(), width), ""]]
+                rows.append((len(rows), "\n".join(sign + x for x in lines)))
+                want.append([name])
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This file is released under the MIT License.", ["MIT"]),
+        ("x\n\nThe MIT License (MIT)\n\nCopyright 2020 A B", ["MIT"]),
+        ("MIT License\n", ["MIT"]),
+        ("This source code is licensed under\n the terms of the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("The code is available under the 3-Clause BSD License", ["BSD-3-Clause"]),
+        ("All texts are published under CC BY-NC 4.0.\nThis work is licensed\nunder the MIT License.", ["CC-BY-NC-4.0", "MIT"]),
+        ("# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy", ["MPL-2.0"]),
+        ("We talked about the MIT License and went home.", []),
+        ("An end\nThis work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-only"]),
+        ("Permission | is hereby granted", []),
+        ("All\n\nrights reserved", []),
+    ],
+)
+def test_titles_and_notices_in_other_words(spark, text, want):
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licences"] == want
+
+
 def test_native_operators_run_no_python(spark, sf, capsys):
     for name in ("op2_quality_rules", "op6_license_scans", "op9_benchmark_decontamination"):
         registry.queries()[name](spark, sf).explain()
