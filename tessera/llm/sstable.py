@@ -182,7 +182,6 @@ class WordEncoder:
 
     def __init__(self, path: str, width: int) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = {2: "<u2", 4: "<u4"}[width]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}

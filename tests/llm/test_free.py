@@ -351,6 +351,15 @@ def test_shards_hold_what_the_library_encodes(spark, sf, docs):
         start += len(ids)
 
 
+def test_special_tokens_are_the_library_s(spark, tmp_path):
+    texts = ["say <|endoftext|> now", "a<|endoftext|>b c", "<|startoftext|>x y<|endoftext|>", "<|endoftext|><|startoftext|>\n don't<|endoftext|>'s", "<|ENDOFTEXT|> <|endoftext|", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = sstable.write_shards(docs, f"file://{tmp_path}/special", shards=2)
+    t = Tokenizer.from_file(sstable.TOKENIZER)
+    got = {r["doc_id"]: list(r["ids"]) for r in sstable.read_shards(spark, manifest).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, sstable.END_ID] for i, x in enumerate(texts)}
+
+
 def test_lookup_by_id(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sstable, "BLOCK_BYTES", 64)
     path, rows = tmp_path / "x.sst", [(None, b"\x01\x00"), (-5, b""), (-5, b"\x02\x00"), *[(3 * i, bytes([i, 0, i, 1])) for i in range(200)]]
