@@ -54,11 +54,52 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written as a table to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    """The rows of df, written as a table to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The table goes when it is discarded, or else with the application, as a lazy result may still read it.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, where = _at(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` made and nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_written_at", None):
+            fs, where = _at(t.sparkSession, path)
+            fs.delete(where, True)
+            fs.cancelDeleteOnExit(where)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def own(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 #: Rows of an Arrow batch. Documents can be long, so that Spark's default of 10,000 would hold tens of MB for each task in both processes.

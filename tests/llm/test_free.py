@@ -264,6 +264,79 @@ def test_components_equal_brute_force(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in texts}
 
 
+def alike_but_apart(n):
+    """Documents that share four fifths of their shingles and are not similar, as a common passage makes them, of three sizes."""
+    r, out = random.Random(n), {}
+    passage = {k: [f"p{k}_{i}" for i in range(k)] for k in (80, 160, 40)}
+    for i in range(n):
+        k = r.choice(list(passage))
+        out[i] = " ".join([*passage[k], *[f"w{i}_{j}" for j in range(k // 4)]])
+    return out
+
+
+def test_comparisons_grow_with_the_input(spark):
+    met = {}
+    for n in (400, 1600):
+        df = spark.createDataFrame(list(alike_but_apart(n).items()), "id long, text string")
+        prefixes = neardup.ordered_prefixes(df.mapInArrow(neardup._whole, "id long, set array<long>"))
+        none = df.select("id", F.col("id").alias("component")).limit(0)
+        met[n] = neardup.meetings(prefixes, none).count()
+        assert neardup.pairs_across(prefixes, none).count() == 0
+    assert met[1600] <= 5 * max(met[400], 400)
+    rows = neardup.near_duplicates(df.withColumnRenamed("id", "doc_id")).collect()
+    assert all(r["kept"] for r in rows)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_families_that_share_their_heavy_values(spark, exact):
+    """Large groups of near copies at a similarity of about 0.7 of each other, so that one leader can't join them."""
+    r, texts = random.Random(8), {}
+    base = [f"b{i}" for i in range(150)]
+    for f in range(3):
+        own = list(base)
+        own[f * 13 : f * 13 + 13] = [f"f{f}_{i}" for i in range(13)]
+        for _ in range(40):
+            t = list(own)
+            t[r.randrange(100, 150)] = f"e{len(texts)}"
+            texts[len(texts)] = " ".join(t)
+    sets = brute_sets(texts)
+    want = brute_components(sets)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = neardup.near_duplicates(df, exact=exact).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_components_of_long_paths_and_trees(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FOREST_EDGES", 3)
+    r = random.Random(4)
+    ids = r.sample(range(-500, 10**6), 260)
+    edges = [*zip(ids, ids[1:60], strict=False), *[(ids[i], ids[60 + r.randrange(0, max(1, i - 60))]) for i in range(61, 200)], (0, 7), (7, 0), (-1, -2)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for i in near:
+        todo, seen = [i], set()
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near[x]
+        want[i] = min(seen)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {r["id"]: r["component"] for r in neardup.components(df).collect()} == want
+
+
+def test_near_duplicate_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (2, "A b c d e f", "y"), (3, "q", "z")]
+    for name in ("known_id", "row_of_id", "_known_id", "id", "class", "component", "a.b"):
+        df = spark.createDataFrame(rows, "doc_id long, text string, x string").withColumnRenamed("x", name)
+        got = neardup.deduplicate(df)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == [rows[0], rows[3]]
+
+
 def test_near_duplicate_edges(spark, odd, empty):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
