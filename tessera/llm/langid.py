@@ -12,15 +12,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, held_out
+from tessera.llm.common import bounded_batches, fresh, held_out, own, quoted
 
 UNDETERMINED = "und"
 #: Lengths of the n-grams, and bits of the space they are hashed into.
 NGRAMS, BITS = (1, 2, 3), 15
-#: Most labelled documents that the classifier is fitted on; n-gram document counts cover all training documents.
-MAX_TRAINING_DOCS = 4000
-#: Most languages a model learns, those with most training documents.
-MAX_LANGUAGES = 256
+#: About how many labelled documents the classifier is fitted on, and the most n-grams of theirs; n-gram document counts cover all training documents.
+MAX_TRAINING_DOCS, MAX_TRAINING_GRAMS = 4000, 8_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-4, 3
 #: One training document in so many calibrates the temperature and doesn't move weights.
 CALIBRATION = 5
@@ -140,49 +138,75 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("lang", pa.string()), ("fold", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    kind = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
     for batch in batches:
         rows = [ngram_counts(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("fold"), pa.array([a for a, _ in rows], kind.field("at").type), pa.array([n for _, n in rows], kind.field("n").type)], schema=kind)
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), *[pa.array(c, kind.field(i + 2).type) for i, c in enumerate(zip(*rows, strict=True))]], schema=kind)
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_TRAINING_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """A model from rows with text and label; rows where either is null or the text has no letter teach nothing.
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, aside: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights and bias from the rows that aren't set aside (from all if none is left), and the temperature by those that are."""
+    learn = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(y))
+    w, b = fit_ftrl([rows[i] for i in learn], y[learn], classes, 1 << BITS)
+    logits = np.array([rows[i][1] @ w[rows[i][0]] + b for i in np.flatnonzero(aside)]).reshape(-1, classes)
+    return w, b, fit_temperature(logits, y[aside])
 
-    Inverse document frequencies count all rows; the weights are fitted on at most `max_docs` rows, as many of
-    each language, chosen by a hash of the key. With no row, the model knows no language and predicts `und`.
+
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_TRAINING_DOCS, max_grams: int = MAX_TRAINING_GRAMS) -> Model:
+    """A model of all labels, from rows with text and label; rows where either is null or the text has no letter teach nothing.
+
+    Inverse document frequencies count all rows. The weights are fitted on a bounded sample: about `max_docs` rows, as
+    many of each label and one at least, chosen by a hash of key and text, equal rows once; and of those, by the hash, as
+    many as hold `max_grams` n-grams. They are fitted in one task, which holds the sample's n-grams (8 bytes each) and two
+    numbers for each bucket and label, and only the weights come to the driver. A null or repeated key chooses by the text.
+    With no row, the model knows no label and predicts `und`.
     """
     bounded_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = labelled.select(F.col(quoted(text)).alias("text"), F.col(quoted(lang)).cast("string").alias("lang"), F.col(quoted(key)).cast("string").alias("key"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("key", "text").alias("h"))
     counts = dict(map(tuple, rows.select("text").mapInArrow(_document_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect()))  # one row for each bucket
-    sizes = dict(map(tuple, rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()))
+    sizes = dict(map(tuple, rows.groupBy("lang").count().collect()))  # one row for each label
+    idf = np.zeros(1 << BITS, np.float32)
     if not sizes:
-        return Model((), np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
-    languages, docs, each = tuple(sorted(sizes)), counts.pop(-1), max_docs // len(sizes)
-    idf = np.zeros(1 << BITS)
+        return Model((), idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
+    languages, docs, each = tuple(sorted(sizes)), counts.pop(-1), max(1, max_docs // len(sizes))
     at = np.fromiter(counts, np.int64, len(counts))
     idf[at] = np.log((1 + docs) / (1 + np.fromiter(counts.values(), np.float64, len(counts)))) + 1
-    # a threshold on the hash keeps about `each` rows of a language; ties of equal keys stay in a fixed order
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.1 * each / n))])
-    picked = rows.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).orderBy("h", "lang", F.xxhash64("text")).limit(max_docs)
-    sample = picked.select("lang", F.pmod(F.xxhash64("h"), F.lit(CALIBRATION)).alias("fold"), "text").mapInArrow(_features, "lang string, fold long, at array<int>, n array<long>").toArrow().to_batches()
-    feats = [tf_idf((at.values.to_numpy().astype(np.int64), n.values.to_numpy()), idf) for b in sample for at, n in zip(b.column("at"), b.column("n"), strict=True)]
-    y = np.array([languages.index(x) for b in sample for x in b.column("lang").to_pylist()], np.int64)
-    aside = np.array([x == 0 for b in sample for x in b.column("fold").to_pylist()], bool)
-    fit = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(y))
-    w, b = fit_ftrl([feats[i] for i in fit], y[fit], len(languages), 1 << BITS)
-    logits = np.array([feats[i][1] @ w[feats[i][0]] + b for i in np.flatnonzero(aside)]).reshape(-1, len(languages))
-    return Model(languages, idf.astype(np.float32), w.astype(np.float32), b, fit_temperature(logits, y[aside]))
-
-
-def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """df with lang_pred and score (their names after `prefix`) (0 to 1) of each whole text; und and 0 where it is null or has no letter.
-
-    Only the text is read. Columns of df with these names are replaced; all others stay, row by row.
+    # a threshold on the hash keeps about `each` rows of a label; a label of few rows keeps all
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 1.0 if n <= 2 * each + 20 else each / n)])
+    picked = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * (1 << 40)).dropDuplicates(["h", "lang"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feats, y, aside, grams = [], [], [], 0
+        for b in batches:
+            for h, k, buckets, n in zip(b.column("h").to_pylist(), b.column("lang").to_pylist(), b.column("at"), b.column("n"), strict=True):
+                if feats and grams + len(buckets) > max_grams:
+                    break
+                grams += len(buckets)
+                at, v = tf_idf((buckets.values.to_numpy(), n.values.to_numpy()), idf)
+                feats.append((at, v.astype(np.float32)))
+                y.append(languages.index(k))
+                aside.append(h // (1 << 40) % CALIBRATION == 0)
+        w, b, t = fit(feats, np.array(y), np.array(aside), len(languages))
+        used = np.flatnonzero(w.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32)]), pa.array([w[used].astype(np.float32).tobytes()]), pa.array([b]), pa.array([t])], ["at", "w", "b", "t"])
+
+    order = picked.mapInArrow(_features, "h long, lang string, at array<int>, n array<int>").repartition(1).sortWithinPartitions("h", "lang")
+    got = order.mapInArrow(run, "at array<int>, w binary, b array<double>, t double").first()
+    weights = np.zeros((1 << BITS, len(languages)), np.float32)
+    weights[np.array(got["at"], np.int64)] = np.frombuffer(got["w"], np.float32).reshape(-1, len(languages))
+    return Model(languages, idf, weights, np.array(got["b"]), got["t"])
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df with the language and its probability (0 to 1) of each whole text, in columns of these names.
+
+    `und` and 0 where the text is null, empty or has no letter, or the model knows no label. Of labels of equal
+    probability the first in order is taken. Only the text is read, whole, in blocks of bounded size however long it is.
+    Repeated rows are judged one by one; an empty table gives no rows. Columns of df with these names are replaced; all others stay.
     """
     bounded_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded
+    shared = df.sparkSession.sparkContext.broadcast(model)  # buckets x labels
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -190,8 +214,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -
         for texts in batches:
             yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (f"{prefix}lang_pred", f"{prefix}score")], of(F.col(text)).alias("_lang_of_text"))
-    return out.select("*", *[F.col(f"_lang_of_text.{c}").alias(f"{prefix}{c}") for c in ("lang_pred", "score")]).drop("_lang_of_text")
+    (found,) = fresh(df, "lang_of_text")
+    out = df.select(*[F.col(quoted(c)) for c in df.columns if c not in names], of(F.col(quoted(text))).alias(found))
+    return out.select("*", *[F.col(f"{found}.{c}").alias(k) for c, k in zip(("lang_pred", "score"), names, strict=True)]).drop(found)
 
 
 def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -204,5 +229,6 @@ def accepted(lang_pred: Column, score: Column, min_score: float = 0.5) -> Column
 
 
 def accept(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of docs whose language the model determines with at least `min_score`, their columns untouched."""
-    return predict(docs, model, text, "_langid_").where(accepted(F.col("_langid_lang_pred"), F.col("_langid_score"), min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose language the model determines with at least `min_score`, their columns, of any names, untouched."""
+    pred, score = fresh(docs, "lang_pred", "lang_score")
+    return predict(docs, model, text, (pred, score)).where(accepted(F.col(pred), F.col(score), min_score)).select(*own(docs))
