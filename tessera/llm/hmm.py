@@ -28,13 +28,15 @@ GROUPS = OWN_GROUPS + ENDINGS + 1
 END = GROUPS - 1
 #: Bytes of a word that say which ending it has.
 ENDING = 3
-#: Most frequent words whose counts go to every task; all others are joined.
-SHARED_WORDS = 20_000
+#: Most words, the most frequent, whose counts go to every task; all others are joined. Counts are ranked in so many steps for each doubling.
+SHARED_WORDS, STEPS = 20_000, 16
 #: Distinct words that a task counts before it passes the counts on.
 PARTIAL_WORDS = 300_000
 SMOOTHING, EMISSION_SMOOTHING = 0.1, 0.1
-#: Tokens of a training sequence, and of a block whose transfer matrix scoring makes.
-BLOCK = 64
+#: Tokens of a block, whose transfer matrix carries states from one block of a document to the next; tokens after which its scale is taken out.
+BLOCK, SCALED = 64, 16
+#: As SCALED, in training, where numbers are products of two.
+RESCALED = 4
 #: Tokens whose blocks are in memory at once.
 TOKENS = 1 << 19
 FOLDS = 10
@@ -82,8 +84,20 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    """Bounded statistics of the counts table."""
-    top = [(r["word"].encode(), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(SHARED_WORDS).collect()]
+    """Bounded statistics of the counts table.
+
+    Shared are all words above a count, the least by which they are not too many, so that only they come to the driver. Equal
+    counts are ordered by the word.
+    """
+    step = F.floor(F.log2(F.col("c").cast("double")) * STEPS)
+    least, many = None, 0
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True):  # at most 64 x STEPS rows
+        many += r[1]
+        if many > SHARED_WORDS:
+            break
+        least = r[0]
+    top = [] if least is None else [(r["word"].encode(), r["c"]) for r in counts.where(step >= least).collect()]
+    top.sort(key=lambda x: (-x[1], x[0]))
     own = {w: i for i, (w, _) in enumerate(top[:OWN_GROUPS])}
     bare = Vocabulary(0, 0, ends, {}, own, np.zeros(GROUPS), np.zeros(GROUPS))
 
@@ -182,42 +196,94 @@ def _blocks(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return grid, (grid >= 0).sum(1), first
 
 
+def _transfers(model: Hmm, grid: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the scaled product of its tokens' transfer matrices and the logarithm of the scale. A document's first token follows none."""
+    order = np.argsort(-n, kind="stable")
+    tokens, sizes = grid[order].T, -n[order]
+    m, scale, emit = np.tile(np.eye(STATES), (len(grid), 1, 1)), np.zeros(len(grid)), model.emit.T
+    for t in range(int(n.max(initial=0))):
+        k = int(np.searchsorted(sizes, -t))  # rows longer than t
+        x = (m[:k].reshape(-1, STATES) @ model.move).reshape(-1, STATES, STATES)
+        if t == 0:
+            x[first[order]] = np.eye(STATES)
+        x *= emit[tokens[t, :k]][:, None, :]
+        m[:k] = x
+        if t % SCALED == SCALED - 1 or t == BLOCK - 1:
+            top = x.max((1, 2))
+            m[:k] /= top[:, None, None]
+            scale[:k] += np.log(top)
+    out, logs = np.empty_like(m), np.empty_like(scale)
+    out[order], logs[order] = m, scale
+    return out, logs
+
+
+def _chained(model: Hmm, m: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States (each row's distribution after the row before it, given all tokens so far; the start for a document's first), the
+    logarithms of the rows' scales, and the weight of each state at a row's end by all tokens after it."""
+    begins = np.flatnonzero(first)
+    rows = np.diff(np.append(begins, len(m)))
+    before, after, logs = np.tile(model.start, (len(m), 1)), np.ones((len(m), STATES)), np.zeros(len(m))
+    order = np.argsort(-rows, kind="stable")
+    sizes = -rows[order]
+    live = [begins[order[: int(np.searchsorted(sizes, -step))]] + step for step in range(int(rows.max(initial=0)))]  # the rows of that number
+    for step, at in enumerate(live):
+        x = np.einsum("ds,dst->dt", before[at], m[at])
+        total = x.sum(1)
+        logs[at] = np.log(total)
+        if step + 1 < len(live):
+            k = len(live[step + 1])
+            before[live[step + 1]] = x[:k] / total[:k, None]
+    for at in reversed(live[1:]):
+        x = np.einsum("dst,dt->ds", m[at], after[at])
+        after[at - 1] = x / x.sum(1, keepdims=True)
+    return before, logs, after
+
+
 def expected_counts(model: Hmm, docs: list[np.ndarray]) -> np.ndarray:
-    """Baum-Welch counts of the documents: starts, moves and emissions, one after another. Rows of BLOCK tokens are sequences of their own; one that begins inside a document starts from any state alike."""
+    """Baum-Welch counts of whole documents: starts, moves and emissions, one after another. States are carried over the blocks' ends both ways."""
     grid, n, first = _blocks(docs)
+    if (~first).any():
+        before, _, after = _chained(model, _transfers(model, grid, n, first)[0], first)
+    else:
+        before, after = np.tile(model.start, (len(grid), 1)), np.ones((len(grid), STATES))
     order = np.argsort(-n, kind="stable")
-    grid, n, first = grid[order], n[order], first[order]
+    grid, n, first, before, after = grid[order], n[order], first[order], before[order], after[order]
     emit = model.emit.T
     live = [int(np.searchsorted(-n, -t)) for t in range(BLOCK)]  # rows longer than t
     a = np.zeros((BLOCK, len(grid), STATES))
-    b = np.zeros((BLOCK, len(grid), STATES))
+    b = np.ones((BLOCK, len(grid), STATES))
     e = emit[np.maximum(grid, 0).T]  # time x row x state
-    a[0] = np.where(first[:, None], model.start, 1 / STATES) * e[0]
+    a[0] = np.where(first[:, None], before, before @ model.move) * e[0]
     a[0] /= a[0].sum(1, keepdims=True)
     for t in range(1, BLOCK):
         k = live[t]
         if not k:
             break
-        x = (a[t - 1, :k] @ model.move) * e[t, :k]
-        a[t, :k] = x / x.sum(1, keepdims=True)
+        np.matmul(a[t - 1, :k], model.move, out=a[t, :k])
+        a[t, :k] *= e[t, :k]
+        if t % RESCALED == 0:
+            a[t, :k] /= a[t, :k].sum(1, keepdims=True)
     moves = np.zeros((STATES, STATES))
-    b[:] = 1.0
+    b[BLOCK - 1] = np.where((n == BLOCK)[:, None], after, 1.0)
     for t in range(BLOCK - 1, 0, -1):
         k = live[t]
         if not k:
             continue
         eb = e[t, :k] * b[t, :k]
-        scale = 1 / ((a[t - 1, :k] @ model.move) * eb).sum(1, keepdims=True)
-        moves += (a[t - 1, :k] * scale).T @ eb
         x = eb @ model.move.T
-        b[t - 1, :k] = x / x.sum(1, keepdims=True)
-    g = a * b
-    g /= np.maximum(g.sum(2, keepdims=True), 1e-300)
+        moves += (a[t - 1, :k] / np.einsum("rs,rs->r", a[t - 1, :k], x)[:, None]).T @ eb
+        b[t - 1, :k] = x / x.sum(1, keepdims=True) if t % RESCALED == 0 else x
+    inner = ~first
+    eb = e[0, inner] * b[0, inner]
+    moves += (before[inner] / (before[inner] * (eb @ model.move.T)).sum(1, keepdims=True)).T @ eb
     at = grid.T.reshape(-1)
-    ok = at >= 0
-    flat = g.reshape(-1, STATES)[ok]
+    ok = np.flatnonzero(at >= 0)
+    a *= b
+    starts = a[0][first]
+    flat = a.reshape(-1, STATES)[ok]
+    flat /= flat.sum(1, keepdims=True)
     out = np.stack([np.bincount(at[ok], flat[:, s], GROUPS) for s in range(STATES)])
-    return np.concatenate([g[0][first].sum(0), (moves * model.move).reshape(-1), out.reshape(-1)])
+    return np.concatenate([(starts / starts.sum(1, keepdims=True)).sum(0), (moves * model.move).reshape(-1), out.reshape(-1)])
 
 
 def reestimate(counts: np.ndarray) -> Hmm:
@@ -229,32 +295,9 @@ def reestimate(counts: np.ndarray) -> Hmm:
 def forward(model: Hmm, docs: list[np.ndarray]) -> np.ndarray:
     """Exact natural log probability of each sequence of groups: scaled transfer matrices of blocks, chained along each document."""
     grid, n, first = _blocks(docs)
-    m = np.broadcast_to(np.eye(STATES), (len(grid), STATES, STATES)).copy()
-    scale = np.zeros(len(grid))
-    emit = model.emit.T
-    begins = np.flatnonzero(first)
-    for t in range(BLOCK):
-        k = np.flatnonzero(n > t)
-        if not len(k):
-            break
-        x = (m[k].reshape(-1, STATES) @ model.move).reshape(-1, STATES, STATES)
-        if t == 0:
-            x[first[k]] = np.eye(STATES)  # the first token of a document follows none
-        x *= emit[grid[k, t]][:, None, :]
-        top = x.max((1, 2))
-        m[k] = x / top[:, None, None]
-        scale[k] += np.log(top)
-    rows = np.diff(np.append(begins, len(grid)))
-    v, total = np.tile(model.start, (len(docs), 1)), np.zeros(len(docs))
-    order = np.argsort(-rows, kind="stable")
-    for step in range(rows.max(initial=0)):
-        d = order[: int(np.searchsorted(-rows[order], -step))]
-        at = begins[d] + step
-        x = np.einsum("ds,dst->dt", v[d], m[at])
-        s = x.sum(1)
-        v[d] = x / s[:, None]
-        total[d] += np.log(s) + scale[at]
-    return total
+    m, scale = _transfers(model, grid, n, first)
+    _, logs, _ = _chained(model, m, first)
+    return np.add.reduceat(logs + scale, np.flatnonzero(first)) if len(docs) else np.zeros(0)
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -310,7 +353,9 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds:
 
     Documents whose crc32(id as text) mod `folds` is 0 are held out of all training; a null id isn't. A null
     text is an empty one: its only token is the end. With no training document all words are unknown and
-    the states keep their first guess. Repeated rows count as often as they occur. Scores are log10.
+    the states keep their first guess. Repeated rows count as often as they occur; an empty table gives no rows. Words of equal
+    counts are ranked by their bytes. Training and scoring take whole documents: a long one is cut into blocks over whose ends
+    states are carried, and is in memory as a whole (about 200 bytes a token in training). Scores are log10. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(F.col(doc_id), folds).alias("held_out"))
