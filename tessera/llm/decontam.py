@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, ascii_lower, let, written
+from tessera.llm.common import LOWER, UPPER, ascii_lower, fresh, let, own, quoted, written
 
 WINDOW = 13
 #: A document is contaminated from one hit word in so many.
 RATIO = 20
-#: Windows of the benchmark up to which their hashes are broadcast (24 bytes each); beyond, Spark shuffles instead.
+#: Windows of the benchmark up to which their hashes, and nothing else, are broadcast (24 bytes each in a hash table); beyond, Spark shuffles instead.
 BROADCAST_WINDOWS = 2_000_000
 #: Documents with hits up to which they are broadcast (24 bytes each) to the scan that removes them.
 BROADCAST_HITS = 500_000
@@ -58,20 +58,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
 
     spans: sorted (pos, n) in words, n_hit: words inside any of them, items: sorted ids as text. fp, a hash of
     the text, keeps different texts under one id apart; equal rows give one row. The document's side is one
-    scan and a hash probe, and only hits are shuffled. A matching hash is verified on the words.
+    scan and a hash probe, and only windows whose hash is found are shuffled, to be verified on the words. Beyond
+    `broadcast_windows` each window is shuffled with its own words alone. A text is taken whole, its words in one array.
+    An empty benchmark gives no rows.
     """
     grams = written(benchmark_windows(benchmark, window))
     lengths = sorted(r[0] for r in grams.select("n").distinct().collect())  # at most `window` values
-    keys = grams.drop("n")
-    keys = F.broadcast(keys) if grams.count() <= broadcast_windows else keys
-    ws = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("fp"), F.explode(F.array(item_words(F.col(text)))).alias("ws"))
+    few = grams.count() <= broadcast_windows
+    ws = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.xxhash64(F.col(quoted(text))).alias("fp"), F.explode(F.array(item_words(F.col(quoted(text))))).alias("ws"))
     ws = ws.where(F.size("ws") >= (lengths[0] if lengths else 0))
     none = F.array().cast("array<struct<pos:int,n:int,h:bigint>>")
     wins = [F.when(F.size("ws") >= n, let(_word_hashes(F.col("ws")), _windows(n))).otherwise(none) for n in lengths]
-    probe = ws.withColumn("wins", F.concat(*wins) if wins else none).select("doc_id", "fp", "ws", F.explode_outer("wins").alias("w")).select("doc_id", "fp", "ws", "w.pos", "w.n", "w.h")
+    probe = ws.withColumn("wins", F.concat(*wins) if wins else none).select("doc_id", "fp", "ws", F.explode("wins").alias("w")).select("doc_id", "fp", "ws", "w.pos", "w.n", "w.h")
+    if few:
+        probe = probe.join(F.broadcast(grams.select("h").distinct()), "h", "left_semi")
+    probe = probe.select("doc_id", "fp", "pos", "n", "h", F.slice("ws", F.col("pos") + 1, F.col("n")).alias("ws"))
     # array_position and not an equality, which the planner would make part of the join's key
-    same = F.array_position(F.array("gram"), F.slice("ws", F.col("pos") + 1, F.col("n"))) > 0
-    found = probe.join(keys, (probe["h"] == keys["h"]) & same)
+    found = probe.join(grams.drop("n"), "h").where(F.array_position(F.array("gram"), F.col("ws")) > 0)
     per = found.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return per.withColumn("n_hit", _covered(F.col("spans")))
 
@@ -80,11 +83,6 @@ def contaminated(n_hit: Column, n_words: Column, ratio: int = RATIO) -> Column:
     return (n_hit > 0) & (ratio * n_hit >= n_words)
 
 
-def _with_hits(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    f = found.select(F.col("doc_id").alias("_hit_id"), F.col("fp").alias("_hit_fp"), F.col("spans").alias("_spans"), F.col("items").alias("_items"), F.col("n_hit").alias("_n_hit"))
-    return docs.join(f, F.col(doc_id).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text) == F.col("_hit_fp")), "left").drop("_hit_id", "_hit_fp")
-
-
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(ascii_lower(text), F.lit(_BREAK.replace("[", "[^", 1))).cast("long"), F.lit(0).cast("long"))
 
@@ -107,23 +105,26 @@ def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
     """docs without contaminated documents (mode "documents"), or with hit words cut from their texts (mode "spans").
 
-    "documents" drops a document when at least one word in `ratio` is hit; all other rows and columns stay.
-    "spans" keeps each row and removes each hit word with the separators after it. Null texts stay null.
+    "documents" drops a document when at least one word in `ratio` is hit; all other rows and columns stay, whatever
+    their names. "spans" keeps each row and removes each hit word with the separators after it. Null, empty and wordless
+    texts stay as they are; an empty benchmark changes nothing. Repeated rows fare alike. An item as long as the limit
+    counts as contamination (a tie drops).
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
     found = written(find_hits(docs, benchmark, doc_id=doc_id, text=text, window=window))
+    key, fp, spans, hit = fresh(docs, "hit_id", "hit_fp", "hit_spans", "n_hit_words")
+    f = found.select(F.col("doc_id").alias(key), F.col("fp").alias(fp), F.col("n_hit").alias(hit), *([F.col("spans").alias(spans)] if mode == "spans" else []))
+    body = F.col(quoted(text))
+    joined = docs.join(F.broadcast(f) if mode == "documents" and found.count() <= BROADCAST_HITS else f, F.col(quoted(doc_id)).eqNullSafe(F.col(key)) & (F.xxhash64(body) == F.col(fp)), "left")
     if mode == "documents":
-        found = found.withColumn("spans", F.lit(None)).withColumn("items", F.lit(None))
-    joined = _with_hits(docs, F.broadcast(found) if mode == "documents" and found.count() <= BROADCAST_HITS else found, doc_id, text)
-    if mode == "documents":
-        bad = contaminated(F.coalesce("_n_hit", F.lit(0).cast("long")), n_words(F.col(text)), ratio)
-        return joined.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+        bad = contaminated(F.coalesce(hit, F.lit(0).cast("long")), n_words(body), ratio)
+        return joined.where(F.col(hit).isNull() | ~bad).select(*own(docs))
     piece = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    lead = F.regexp_extract(text, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    keep = let(F.col("_spans"), lambda spans: F.filter(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), lambda w, i: ~F.exists(spans, lambda s: (i >= s["pos"]) & (i < s["pos"] + s["n"]))))
-    cut = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat(lead, F.concat_ws("", keep)))
-    return joined.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    lead = F.regexp_extract(body, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    keep = let(F.col(spans), lambda found: F.filter(F.regexp_extract_all(body, F.lit(piece), F.lit(0)), lambda w, i: ~F.exists(found, lambda s: (i >= s["pos"]) & (i < s["pos"] + s["n"]))))
+    cut = F.when(F.col(spans).isNull(), body).otherwise(F.concat(lead, F.concat_ws("", keep)))
+    return joined.select(*[cut.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])
 
 
 def oracle() -> str:
