@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.automata import Automaton, infer
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, fresh, quoted
 
 BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGNED = 8
-#: What is scored: runs of credential characters, of at least so many, with a digit among them, and their parts that start after a sign.
+#: What is scored: runs of credential characters, and their parts that start after a sign. No format has fewer characters than these.
 MIN_CANDIDATE = 16
 _SIGNS = "+/_.=-"
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
@@ -180,9 +180,8 @@ def find(text: str | None, scorer: Scorer) -> list[tuple[int, int, str]]:
     base = base_spans(text)
     out = list(base)
     for m in _CANDIDATE.finditer(text):
-        if any("0" <= c <= "9" for c in m[0]):
-            for a, b in _outside(m.start(), m.end(), base):
-                out += [(a + x, a + y, kind) for x, y, kind in _hits(text[a:b], scorer)]
+        for a, b in _outside(m.start(), m.end(), base):
+            out += [(a + x, a + y, kind) for x, y, kind in _hits(text[a:b], scorer)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -190,12 +189,14 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scan(df: DataFrame, text: str = "text", scorer: Scorer | None = None, prefix: str = "") -> DataFrame:
-    """df with n_assign, n_access, n_hex, base_sha256, spans and redacted (their names after `prefix`) of each whole text.
+def scan(df: DataFrame, text: str = "text", scorer: Scorer | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """df with n_assign, n_access, n_hex, base_sha256, spans and redacted (or their `names`) of each whole text.
 
     spans: kind:start:end in code points, comma-joined; redacted: the text with each span replaced by
-    [kind], overlapping ones as the first of them. A null text is searched as an empty one and stays null.
-    Columns of df with these names are replaced; all others stay, row by row.
+    [kind], overlapping ones as the first of them. A null text is searched as an empty one and stays null. A text is
+    searched whole, however long, in memory that grows with its longest run. Of formats that explain a part equally well the
+    last in order of name is taken; of equal parts the longest. Repeated rows are searched one by one; an empty table gives no
+    rows. Columns of df with these names are replaced; all others stay.
     """
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(scorer or train())
@@ -205,15 +206,17 @@ def scan(df: DataFrame, text: str = "text", scorer: Scorer | None = None, prefix
         for texts in batches:
             yield pd.DataFrame([_row(t, shared.value) for t in texts], columns=list(_COLUMNS))
 
-    new = {c: f"{prefix}{c}" for c in _COLUMNS}
-    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new.values()], of(F.col(text)).alias("_secrets_found"))
-    return out.select("*", *[F.col(f"_secrets_found.{c}").alias(k) for c, k in new.items()]).drop("_secrets_found")
+    new = {c: (names or {}).get(c, c) for c in _COLUMNS}
+    (found,) = fresh(df, "secrets_found")
+    out = df.select(*[F.col(quoted(c)) for c in df.columns if c not in new.values()], of(F.col(quoted(text))).alias(found))
+    return out.select("*", *[F.col(f"{found}.{c}").alias(k) for c, k in new.items()]).drop(found)
 
 
 def without_secrets(docs: DataFrame, text: str = "text", scorer: Scorer | None = None) -> DataFrame:
-    """docs with each secret in `text` replaced by its kind in brackets; all else stays."""
-    found = scan(docs, text, scorer, "_secret_")
-    return found.select(*[F.col("_secret_redacted").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    """docs with each secret in `text` replaced by its kind in brackets; all else stays, whatever its name, and so do null and empty texts."""
+    new = dict(zip(_COLUMNS, fresh(docs, *_COLUMNS), strict=True))
+    found = scan(docs, text, scorer, new)
+    return found.select(*[F.col(new["redacted"]).alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])
 
 
 _COLUMNS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted")
