@@ -33,6 +33,8 @@ BITS_PER_KEY, PROBES = 10, 7
 MAGIC = b"TSSTAB01"
 _FOOTER = struct.Struct("<QQQQQQB8s")  # index offset and size, Bloom offset and size, documents, ids, width, magic
 _INDEX = struct.Struct("<QIIQH")  # offset, size, entries, ids before, key bytes
+#: Bytes of text for which a shard is made, if that gives more shards than there are shuffle partitions.
+SHARD_BYTES = 256 << 20
 #: Words of a generation whose ids a worker remembers (it keeps two), and the longest word remembered.
 CACHE, CACHED_WORD = 600_000, 64
 
@@ -55,9 +57,14 @@ def _varint(n: int) -> bytes:
     return bytes(out)
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
-    return [(a + i * (b | 1)) % bits for i in range(PROBES)]
+def _probes(digests: bytes, bits: int) -> np.ndarray:
+    """Key x probe: the bits of keys, given by their 16-byte digests."""
+    a, b = np.frombuffer(digests, "<u8").reshape(-1, 2).T % np.uint64(bits)
+    return (a[:, None] + np.arange(PROBES, dtype=np.uint64) * (b | np.uint64(1))[:, None]) % np.uint64(bits)
+
+
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
 
 
 def write_table(out, rows: Iterable[tuple[int | None, bytes]], width: int) -> tuple[int, int]:
@@ -84,17 +91,15 @@ def write_table(out, rows: Iterable[tuple[int | None, bytes]], width: int) -> tu
                 shared += 1
         block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         last, entries, docs, ids = key, entries + 1, docs + 1, ids + len(value) // width
-        keys.append(hashlib.blake2b(key, digest_size=16).digest())
+        keys.append(_digest(key))
         if len(block) >= BLOCK_BYTES:
             flush()
     flush()
     bits = max(64, -(-len(keys) * BITS_PER_KEY // 8) * 8)
-    bloom = np.zeros(bits // 8, np.uint8)
-    for d in keys:
-        a, b = struct.unpack("<QQ", d)
-        for i in range(PROBES):
-            k = (a + i * (b | 1)) % bits
-            bloom[k >> 3] |= 1 << (k & 7)
+    bloom = np.zeros(bits, np.uint8)
+    for at_key in range(0, len(keys), 1 << 16):
+        bloom[_probes(b"".join(keys[at_key : at_key + (1 << 16)]), bits)] = 1
+    bloom = np.packbits(bloom, bitorder="little")
     packed = b"".join(index)
     out.write(packed + bloom.tobytes() + _FOOTER.pack(at, len(packed), at + len(packed), len(bloom), docs, ids, width, MAGIC))
     return docs, ids
@@ -158,7 +163,8 @@ class Table:
                 before += len(ids)
 
     def may_hold(self, doc_id: int | None) -> bool:
-        return all(self.bloom[k >> 3] >> (k & 7) & 1 for k in _probes(pack_key(doc_id), 8 * len(self.bloom)))
+        k = _probes(_digest(pack_key(doc_id)), 8 * len(self.bloom))[0].astype(np.int64)
+        return bool((self.bloom[k >> 3] >> (k & 7) & 1).all())
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of all documents of this id (several if the table holds repeated rows)."""
@@ -221,15 +227,16 @@ def write_shards(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text:
     """Encodes every whole text, appends `end` and writes the documents in ascending order of id to shards in `folder`.
 
     Returns the manifest, one entry for each shard that has documents: path, first and last id, docs, ids and
-    start (ids in the shards before). Ids are dealt to shards by quantiles of the id column alone, so only
-    encoded ids are shuffled, once. A task writes a file of its own name and renames it when it is whole; a
+    start (ids in the shards before). There are as many shards as shuffle partitions, and more if they would hold more than
+    SHARD_BYTES of text each. Ids are dealt to them by quantiles of the id column, so only encoded ids are shuffled, once. A task writes a file of its own name and renames it when it is whole; a
     repeated task replaces it by an equal one. Null texts are empty ones. A null id sorts first; repeated ids
-    stay together, ordered by their ids' bytes.
+    stay together in one shard, ordered by their ids' bytes. A text is encoded whole, however long. An empty table makes no shard.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx(F.col(doc_id).cast("long"), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    if not (n := shards):
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // SHARD_BYTES))
+    cuts = docs.select(F.percentile_approx(F.col(doc_id).cast("long"), [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
 
