@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, ascii_lower
+from tessera.llm.common import LOWER, UPPER, ascii_lower, fresh, quoted
 
 # One strict term rejects, several distinct soft terms do.
 STRICT_TERMS = ("spam-farm", "cheap-pills", "casino", "viagra", "cialis", "porn", "xxx", "payday-loan", "payday-loans", "warez", "phishing", "malware")
 SOFT_TERMS = ("adult", "bet", "bonus", "cheap", "click", "coupon", "discount", "farm", "free", "gambling", "jackpot", "loan", "lottery", "nude", "pills", "prize", "sex", "spam", "torrent", "win")
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MIN_SOFT = 2
+#: Most terms of a vocabulary, as all of them are in the memory of each task.
+MAX_TERMS = 1_000_000
 
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -78,7 +80,7 @@ def filter_urls(
 
     A rule decides where one fits (longest wins); elsewhere one strict term or `min_soft` distinct soft
     terms block. Null or no `://`: host and path empty, terms are still counted (none in null). Empty
-    table: no rows. Repeated rows are judged one by one. Columns of df with these names are replaced.
+    table: no rows. Repeated rows are judged one by one; a term counts once however often it occurs. A URL is read whole. Columns of df with these names are replaced.
     """
     s, w = tuple(strict), tuple(soft)
 
@@ -87,11 +89,26 @@ def filter_urls(
         for urls in batches:
             yield pd.DataFrame([term_hits(u, s, w) for u in urls], columns=["n_strict", "n_soft"], dtype="int64")
 
+    given, hits = fresh(df, "given_url", "term_hits")
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "n_strict", "n_soft")]
+    out = df.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(url)).alias(given))
+    out = out.withColumns({"host": host_of(F.col(given)), "path": path_of(F.col(given))})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    out = out.withColumns({"rule": rule, "verdict": verdict, "_hits": count(F.col(url))})
-    by_terms = F.when((F.col("_hits.n_strict") > 0) | (F.col("_hits.n_soft") >= min_soft), "block").otherwise("allow")
-    return out.withColumns({"n_strict": F.col("_hits.n_strict"), "n_soft": F.col("_hits.n_soft"), "verdict": F.coalesce("verdict", by_terms)}).drop("_hits")
+    out = out.withColumns({"rule": rule, "verdict": verdict, hits: count(F.col(given))})
+    by_terms = F.when((F.col(f"{hits}.n_strict") > 0) | (F.col(f"{hits}.n_soft") >= min_soft), "block").otherwise("allow")
+    return out.withColumns({"n_strict": F.col(f"{hits}.n_strict"), "n_soft": F.col(f"{hits}.n_soft"), "verdict": F.coalesce("verdict", by_terms)}).drop(given, hits)
+
+
+def vocabulary(terms: DataFrame, term: str = "term", weight: str = "weight") -> dict[str, list[str]]:
+    """strict and soft terms, for filter_urls, from a table whose weight column says `strict` or `soft`; lower-cased A-Z, without nulls and empty ones.
+
+    A term that is both is strict. The vocabulary goes to the driver and to every task, so a table beyond MAX_TERMS raises.
+    """
+    rows = terms.select(ascii_lower(F.col(quoted(term))).alias("t"), F.col(quoted(weight)).alias("w")).where((F.col("t") != "") & F.col("w").isin("strict", "soft")).distinct().limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a vocabulary holds at most {MAX_TERMS} terms")
+    strict = {r["t"] for r in rows if r["w"] == "strict"}
+    return {"strict": sorted(strict), "soft": sorted({r["t"] for r in rows} - strict)}
 
 
 def _term_sql(terms: Sequence[str]) -> str:
