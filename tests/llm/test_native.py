@@ -57,6 +57,44 @@ def test_spans_are_cut_and_the_rest_stays(spark, bench):
         decontam.decontaminate(docs, bench, mode="other")
 
 
+def test_columns_of_any_name_and_the_way_without_broadcast(spark, bench):
+    rows = [(1, "the quick brown fox", "k"), (2, "quick fox", "k"), (2, "quick fox", "k"), (None, None, "k"), (3, "a b c d e f g h i j k l m n", "k")]
+    for name in ("hit_id", "fp", "a.b"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, x string").withColumnRenamed("x", name)
+        for mode, want in (("documents", [(2, "quick fox", "k"), (2, "quick fox", "k"), (None, None, "k")]), ("spans", [(1, "the fox", "k"), (2, "quick fox", "k"), (2, "quick fox", "k"), (None, None, "k"), (3, "", "k")])):
+            got = decontam.decontaminate(docs, bench, mode=mode)
+            assert got.columns == docs.columns
+            assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)), (name, mode)
+    ways = [sorted(map(str, decontam.report(docs, bench, broadcast_windows=n).collect())) for n in (0, 10)]
+    assert ways[0] == ways[1]
+
+
+def test_windows_of_a_very_long_text(spark, bench):
+    docs = spark.createDataFrame([(1, "x y z " * 300_000 + "quick brown")], "doc_id long, text string")
+    r = decontam.report(docs, bench).first()
+    assert (r["n_words"], r["n_hit"], r["contaminated"]) == (900_002, 2, False)
+
+
+POLISH = "W tym domu jest pies i kot, a na stole leży książka, którą czyta się wieczorem przy oknie. "
+
+
+def test_every_label_has_a_reference(spark):
+    prose = "the cat and the dog of this house are in a garden with that man who was on the hill by it for an hour "
+    rows = [(i, prose + f"number {i} has been at the sea", "en") for i in range(20)] + [(50, POLISH * 4 + "Nie ma go.", "pl")]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[50]["word_distance"] < 0.5 and got[50]["char_distance"] < 0.1
+    assert got[1]["word_distance"] < 0.6
+
+
+def test_learned_words_equal_their_sql(spark, tmp_path):
+    rows = [(i, " ".join(f"{w}{'' if (i + k) % 3 else i}" for k, w in enumerate((POLISH * 3).split())) + (" the and of" if i % 2 else ""), ("pl", "en", None, "cs")[i % 4]) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    got, want = quality.quality(df).toPandas(), sql(str(tmp_path), quality.oracle())
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got[cols].values.tolist())) == sorted(map(tuple, want[cols].values.tolist()))
+
+
 def test_edge_rows_and_empty_tables(spark, odd, empty, bench):
     assert decontam.report(odd, bench).count() == odd.count()
     assert decontam.report(odd, bench.limit(0)).where("n_hit > 0").count() == 0
