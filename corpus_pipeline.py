@@ -14,7 +14,7 @@ from tessera.llm.common import read, written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model determines; it learns from the labelled ones that aren't held out.
 
-    Null texts and texts without a letter go, and so do all if no document has a label.
+    Null texts, empty ones and texts without a letter go, and so do all if no document has a label. Equal rows fare alike.
     """
     return langid.accept(docs, langid.train(langid.training_rows(docs)))
 
@@ -25,17 +25,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty stands in a passage of the benchmark."""
+    """Documents of which less than one word in twenty stands in a passage of the benchmark; null and empty texts stay."""
     return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret in a text replaced by its kind. n_chars stays the source's."""
+    """All documents, each secret in a text replaced by its kind; null and empty texts as they are. n_chars stays the source's."""
     return secrets.without_secrets(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of all documents."""
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of all documents, row by row; a null text has no ids."""
     return bpe.encode(docs, keep=["doc_id"], outputs=("ids", *bpe.DIGESTS))
 
 
