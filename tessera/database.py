@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections import deque
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
@@ -47,6 +48,10 @@ SCHEMAS = {
 KINDS = {"kv": "string", "list_items": "list", "hash_fields": "hash", "set_members": "set", "zset": "zset", "stream_entries": "stream", "sketches": "string", "geo": "zset"}
 
 
+#: Families whose first argument is a key.
+KEYED = {"string", "list", "hash", "set", "zset", "stream", "hyperloglog", "bitmap", "geo"}
+
+
 def _int(text: object) -> int:
     try:
         return int(str(text))
@@ -78,6 +83,9 @@ class Database:
         self.writes: dict[str, int] = {}
         self.queue: list[tuple] | None = None
         self.config = {"maxmemory": "0", "requirepass": ""}
+        #: The newest commands with their milliseconds, and the newest accesses to keys.
+        self.samples: deque[tuple[str, float]] = deque(maxlen=10_000)
+        self.accesses: deque[str] = deque(maxlen=100_000)
         self.seq = 0
 
     # --- tables
@@ -99,14 +107,23 @@ class Database:
         self.t[name] = df
 
     def save(self, folder: str) -> None:
-        """Every table as Parquet (BGSAVE)."""
+        """Every table as Parquet (BGSAVE), in a new version of the folder; the tables go on from there, with short plans."""
         snapshot.save({**self.t, **{f"docs_{k}": v.withColumn("body", F.to_json("body")) for k, v in self.collections.items()}}, folder)
+        self.t, self.collections = self._saved(self.spark, folder)
+
+    @staticmethod
+    def _saved(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        held = snapshot.load(spark, folder)
+        docs_of = {k[5:]: v.withColumn("body", F.parse_json("body")) for k, v in held.items() if k.startswith("docs_")}
+        return {k: held[k] for k in SCHEMAS}, docs_of
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, collections: list[str] | None = None, now: Callable[[], datetime] | None = None) -> Database:
+        """The newest whole version in a folder, with all its collections or those named."""
         db = cls(spark, now)
-        db.t = snapshot.load(spark, folder, list(SCHEMAS))
-        db.collections = {c: spark.read.parquet(f"{folder}/docs_{c}").withColumn("body", F.parse_json("body")) for c in collections or []}
+        db.t, held = cls._saved(spark, folder)
+        db.collections = {c: held[c] for c in (held if collections is None else collections)}
+        db.created = {c: (time.time(), "balanced") for c in db.collections}
         return db
 
     def now_ms(self) -> int:
@@ -155,12 +172,17 @@ class Database:
         if self.queue is not None and name not in ("EXEC", "DISCARD", "MULTI"):
             self.queue.append(args)
             return "QUEUED"
+        began = time.perf_counter()
+        if kind in KEYED and len(words) > 1:
+            self.accesses.append(words[1])
         try:
             return getattr(self, f"_{kind}")(name, *words[1:])
         except CommandError:
             raise
         except (TypeError, IndexError, KeyError, ValueError) as e:
             raise CommandError(f"ERR wrong number of arguments for '{name.lower()}' command") from e
+        finally:
+            self.samples.append((name.lower(), 1000 * (time.perf_counter() - began)))
 
     # --- strings
 
@@ -378,7 +400,7 @@ class Database:
                     if held == "kv":
                         return keyspace.object_encoding(self.own("kv", rest[0]), self.clock()).head(1)[0]["encoding"]
                     return {"list_items": "linkedlist", "hash_fields": "hashtable", "set_members": "hashtable"}.get(held, "unknown")
-                return {"FREQ": 5, "REFCOUNT": 1, "IDLETIME": 0}[sub.upper()]
+                return {"FREQ": 5 + int((self.accesses.count(rest[0]) / 5) ** 0.5), "REFCOUNT": 1, "IDLETIME": 0}[sub.upper()]
             case "DUMP":
                 return [[r["key"], bytes(r["value"])] for r in self.live().orderBy("key").collect()]
         raise CommandError(f"ERR unknown command '{name}'")
@@ -1086,9 +1108,7 @@ class Database:
         if name == "CDC.GROUP":
             sub, _, group, *rest = a
             if sub.upper() == "CREATE":
-                if not groups.where(F.col("group") == group).isEmpty():
-                    raise CommandError("BUSYGROUP Consumer Group name already exists")
-                self.put("cdc_groups", groups.unionByName(self.rows([(group, _int(rest[0]))], SCHEMAS["cdc_groups"])))
+                self.put("cdc_groups", cdc.group_create(groups, group, _int(rest[0])))
                 return "OK"
             if groups.where(F.col("group") == group).isEmpty():
                 raise CommandError("NOGROUP no such group")
@@ -1111,9 +1131,11 @@ class Database:
             sizes = self.live().select("key", (F.octet_length("key") + F.octet_length("value")).alias("bytes"))
             return [[r["prefix"], r["bytes"]] for r in stats.memory(sizes, list(a)).collect()]
         if name == "STATS.HOTKEYS":
-            freq = keyspace.object_freq(self.t["kv"], self.t["kv"].select("key"), self.clock())
-            return [[r["key"], r["freq"]] for r in freq.orderBy(F.desc("freq"), "key").limit(_int(a[0])).collect()]
-        return {f"p{p}": 0 for p in a[1:]}
+            return [[r["key"], r["n"]] for r in stats.hot_keys(self.rows([(k,) for k in self.accesses], "key string"), _int(a[0])).collect()]
+        ps = [_float(p) for p in a[1:]]
+        mine = [s for s in self.samples if s[0] == a[0].lower()]
+        got = stats.latency(self.rows(mine, "command string, duration double"), ps).first() if mine and ps else None
+        return {f"p{p}": float(got[i + 1]) if got else 0.0 for i, p in enumerate(a[1:])}
 
     # --- transactions and the server
 
@@ -1194,10 +1216,14 @@ class Database:
                 return "OK"
             case "WAIT":
                 return 0
-            case "BGSAVE" | "BGREWRITEAOF":
+            case "BGSAVE":
                 if a:
                     self.save(a[0])
                 return "Background saving started"
+            case "BGREWRITEAOF":
+                if a:
+                    snapshot.rewrite(self.spark, a[0])
+                return "Background append only file rewriting started"
             case "QUIT":
                 return "OK"
         raise CommandError(f"ERR unknown command '{name}'")

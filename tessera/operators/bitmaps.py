@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import CommandError
+from tessera.operators.order import lookup
 
 
 def from_offsets(bits: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def getbit(bitmaps: DataFrame, req: DataFrame) -> DataFrame:
     """(pos, key, offset, bit) of each request, 0 where nothing is stored."""
     at = req.withColumn("byte", F.floor(F.col("offset") / 8).cast("long"))
     bit = F.expr("shiftright(coalesce(bits, 0), 7 - cast(offset % 8 as int)) & 1").cast("long")
-    return at.join(bitmaps, ["key", "byte"], "left").select("pos", "key", "offset", bit.alias("bit"))
+    return lookup(at, bitmaps, "key", "byte").select("pos", "key", "offset", bit.alias("bit"))
 
 
 def bitcount(bitmaps: DataFrame, start: int | None = None, end: int | None = None, bits: bool = False) -> DataFrame:
@@ -54,8 +55,9 @@ def bitcount(bitmaps: DataFrame, start: int | None = None, end: int | None = Non
     return bitmaps.groupBy("key").agg(F.sum(F.bit_count(b)).cast("long").alias("n"))
 
 
-def bitop(bitmaps: DataFrame, op: str, destination: str, keys: list[str]) -> DataFrame:
-    """(key, byte, bits) of a combination under the destination's name; missing bytes are zeros. NOT takes one key, and the bytes up to its last non-zero one."""
+def bitop(bitmaps: DataFrame, op: str, destination: str, keys: list[str], lengths: DataFrame | None = None) -> DataFrame:
+    """(key, byte, bits) of a combination under the destination's name; missing bytes are zeros. NOT takes one key, and its bytes up to
+    the end that lengths(key, n) says, without it up to the last non-zero one."""
     op, some = op.upper(), bitmaps.where(F.col("key").isin(keys))
     by_byte = some.groupBy("byte")
     if op == "AND":
@@ -65,7 +67,7 @@ def bitop(bitmaps: DataFrame, op: str, destination: str, keys: list[str]) -> Dat
     elif op == "NOT":
         if len(keys) != 1:
             raise CommandError("ERR BITOP NOT must be called with a single source key.")
-        last = some.agg(F.max("byte").alias("last"))
+        last = some.agg(F.max("byte").alias("last")) if lengths is None else lengths.where((F.col("key") == keys[0]) & (F.col("n") > 0)).select((F.col("n") - 1).cast("long").alias("last"))
         every = last.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("byte"))
         out = every.join(some.select("byte", "bits"), "byte", "left").select("byte", F.lit(255).bitwiseXOR(F.coalesce("bits", F.lit(0))).alias("bits"))
     else:

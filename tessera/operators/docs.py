@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tessera.errors import CommandError
 from tessera.functions.predicates import Typed, Variant, compile_where
 from tessera.functions.predicates import where as where_
+from tessera.operators.order import lookup, numbered
 from tessera.plans.where import Find
 
 SCHEMA = "doc_seq long, doc_id string, body variant"
@@ -98,28 +99,29 @@ def checked_body(text: Column) -> Column:
 
 def set_(docs: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert of new(doc_id, json[, pos]), the last of a repeated id winning. A present document keeps its place; new ones follow the last, in the order of pos and id."""
-    if "pos" not in new.columns:
+    new_pos = "pos" in new.columns
+    if not new_pos:
         new = new.withColumn("pos", F.lit(0))
     new = new.groupBy("doc_id").agg(F.max_by("json", "pos").alias("json"), F.min("pos").alias("pos"))
     old = docs.select("doc_id", "doc_seq")
     same = new.join(old, "doc_id").select("doc_seq", "doc_id", checked_body(F.col("json")).alias("body"))
     fresh = new.join(old, "doc_id", "left_anti")
     top = docs.agg(F.coalesce(F.max("doc_seq"), F.lit(-1)).alias("top"))
-    rn = F.expr("row_number() over (order by pos, doc_id)")
-    added = fresh.withColumn("rn", rn).join(F.broadcast(top), F.lit(True)).select((F.col("top") + F.col("rn")).cast("long").alias("doc_seq"), "doc_id", checked_body(F.col("json")).alias("body"))  # one row
+    added = numbered(fresh, "rn", F.col("pos"), "doc_id") if new_pos else numbered(fresh, "rn", F.col("doc_id"))
+    added = added.join(F.broadcast(top), F.lit(True)).select((F.col("top") + 1 + F.col("rn")).cast("long").alias("doc_seq"), "doc_id", checked_body(F.col("json")).alias("body"))  # one row
     return docs.join(new, "doc_id", "left_anti").select("doc_seq", "doc_id", "body").unionByName(same).unionByName(added)
 
 
 def insert(docs: DataFrame, new: DataFrame) -> DataFrame:
     """Documents of new(ord, json) with decimal ids after the last internal number."""
     top = docs.agg(F.coalesce(F.max("doc_seq"), F.lit(-1)).alias("top"))
-    named = new.withColumn("rn", F.expr("row_number() over (order by ord)")).join(F.broadcast(top), F.lit(True)).select((F.col("top") + F.col("rn")).cast("string").alias("doc_id"), "json", F.col("ord").alias("pos"))  # one row
+    named = numbered(new, "rn", F.col("ord")).join(F.broadcast(top), F.lit(True)).select((F.col("top") + 1 + F.col("rn")).cast("string").alias("doc_id"), "json", F.col("ord").alias("pos"))  # one row
     return set_(docs, named)
 
 
 def get(docs: DataFrame, req: DataFrame) -> DataFrame:
     """(pos, doc_id, json) of each request, null where there is none. Also DOC.MGET."""
-    return req.join(docs, "doc_id", "left").select("pos", "doc_id", F.to_json("body").alias("json"))
+    return lookup(req, docs, "doc_id").select("pos", "doc_id", F.to_json("body").alias("json"))
 
 
 def delete(docs: DataFrame, req: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def delete(docs: DataFrame, req: DataFrame) -> DataFrame:
 
 def exists(docs: DataFrame, req: DataFrame) -> DataFrame:
     there = docs.select("doc_id", F.lit(1).alias("there"))
-    return req.join(there, "doc_id", "left").select("pos", "doc_id", F.coalesce("there", F.lit(0)).cast("long").alias("present"))
+    return lookup(req, there, "doc_id").select("pos", "doc_id", F.coalesce("there", F.lit(0)).cast("long").alias("present"))
 
 
 def mutate(doc: dict, ops: list[tuple]) -> dict:
@@ -231,6 +233,29 @@ def drop_index(indexes: DataFrame, collection: str, path: str) -> DataFrame:
     return indexes.where(~here)
 
 
+def store_layout(df: DataFrame, path: str, kind: str, partitions: int, folder: str) -> None:
+    """Writes a typed table as an index on a path lays it out: hash in folders by the path's hash, which a seek names; sorted in files of ascending ranges, which a range skips by their smallest and largest values."""
+    laid = layout(df, path, kind, partitions)
+    if kind in ("hash", "unique"):
+        laid.withColumn(BUCKET, _bucket(Typed._column(path), partitions)).write.partitionBy(BUCKET).parquet(folder)
+    else:
+        laid.write.parquet(folder)
+
+
+def seek(laid: DataFrame, path: str, value: object, partitions: int) -> DataFrame:
+    """Rows of a stored hash layout whose path has a value, from one folder."""
+    v = F.lit(value).cast(laid.schema[path].dataType)
+    at = laid.sparkSession.range(1).select(_bucket(v, partitions)).first()[0]
+    return laid.where((F.col(BUCKET) == at) & (Typed._column(path) == v)).drop(BUCKET)
+
+
+BUCKET = "_bucket"
+
+
+def _bucket(c: Column, partitions: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(partitions)).cast("int")
+
+
 def layout(df: DataFrame, path: str, kind: str, partitions: int) -> DataFrame:
     """A typed table laid out for an index: hash deals rows by the path, sorted ranges and sorts them, so that Parquet's min/max skip row groups."""
     c = Typed._column(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import CommandError
 from tessera.operators.keyspace import upsert
+from tessera.operators.order import lookup
 
 # The earth's radius in metres, metres of each unit, latitudes of the 52-bit grid, base 32.
 RADIUS = 6372797.560856
@@ -69,13 +70,13 @@ def _unit(name: str) -> float:
 
 def geopos(geo: DataFrame, req: DataFrame) -> DataFrame:
     """(pos, key, member, lon, lat) at six decimals, null for missing members."""
-    return req.join(geo, ["key", "member"], "left").select("pos", "key", "member", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return lookup(req, geo, "key", "member").select("pos", "key", "member", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 def geodist(geo: DataFrame, pairs: DataFrame, unit: str = "m") -> DataFrame:
     """(key, a, b, dist) at four decimals; null if a member is missing."""
     side = lambda k: geo.select("key", F.col("member").alias(k), F.col("lon").alias(f"lon_{k}"), F.col("lat").alias(f"lat_{k}"))
-    j = pairs.join(side("a"), ["key", "a"], "left").join(side("b"), ["key", "b"], "left")
+    j = lookup(lookup(pairs, side("a"), "key", "a"), side("b"), "key", "b")
     return j.select("key", "a", "b", F.round(haversine(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")) / _unit(unit), 4).alias("dist"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import float_text, glob, integer
 from tessera.operators.keyspace import upsert
+from tessera.operators.order import lookup, numbered
 
 
 def hset(fields: DataFrame, new: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def hget(fields: DataFrame, key: str, field: str) -> DataFrame:
 
 def hmget(fields: DataFrame, req: DataFrame) -> DataFrame:
     """(pos, key, field, value) for each request (pos, key, field), null where there is none."""
-    return req.join(fields, ["key", "field"], "left").select("pos", "key", "field", "value")
+    return lookup(req, fields, "key", "field").select("pos", "key", "field", "value")
 
 
 def hdel(fields: DataFrame, req: DataFrame) -> DataFrame:
@@ -39,10 +40,18 @@ def hdel(fields: DataFrame, req: DataFrame) -> DataFrame:
 
 
 def hgetall(fields: DataFrame, key: str) -> DataFrame:
-    """(field, value); HKEYS and HVALS are its columns."""
+    """(field, value) of a hash."""
     return fields.where(F.col("key") == key).select("field", "value")
 
 
+def hkeys(fields: DataFrame, key: str) -> DataFrame:
+    return hgetall(fields, key).select("field")
+
+
+def hvals(fields: DataFrame, key: str) -> DataFrame:
+    return hgetall(fields, key).select("value")
+
+
 def hlen(fields: DataFrame) -> DataFrame:
     return fields.groupBy("key").agg(F.count("*").alias("length"))
 
@@ -50,13 +59,13 @@ def hlen(fields: DataFrame) -> DataFrame:
 def hexists(fields: DataFrame, req: DataFrame) -> DataFrame:
     """(pos, key, field, present) of each request."""
     there = fields.select("key", "field", F.lit(1).alias("there"))
-    return req.join(there, ["key", "field"], "left").select("pos", "key", "field", F.coalesce("there", F.lit(0)).cast("long").alias("present"))
+    return lookup(req, there, "key", "field").select("pos", "key", "field", F.coalesce("there", F.lit(0)).cast("long").alias("present"))
 
 
 def hincrby(fields: DataFrame, deltas: DataFrame) -> DataFrame:
     """(key, field, value BIGINT) after adding deltas (key, field, delta)."""
     total = deltas.groupBy("key", "field").agg(F.try_sum("delta").alias("delta"))
-    j = total.join(fields, ["key", "field"], "left")
+    j = lookup(total, fields, "key", "field")
     base = F.when(F.col("value").isNull(), F.lit(0).cast("bigint")).otherwise(integer(F.col("value")))
     base = F.when(base.isNull(), F.raise_error(F.lit("ERR hash value is not an integer"))).otherwise(base)
     out = F.try_add(base, F.col("delta"))
@@ -66,7 +75,7 @@ def hincrby(fields: DataFrame, deltas: DataFrame) -> DataFrame:
 def hincrbyfloat(fields: DataFrame, deltas: DataFrame) -> DataFrame:
     """(key, field, value STRING) after adding doubles."""
     total = deltas.groupBy("key", "field").agg(F.sum(F.col("delta").cast("double")).alias("delta"))
-    j = total.join(fields, ["key", "field"], "left")
+    j = lookup(total, fields, "key", "field")
     base = F.when(F.col("value").isNull(), F.lit(0.0)).otherwise(F.col("value").cast("string").try_cast("double"))
     out = F.when(base.isNull(), F.raise_error(F.lit("ERR hash value is not a float"))).otherwise(base) + F.col("delta")
     return j.select("key", "field", float_text(out).alias("value"))
@@ -83,9 +92,8 @@ def random_rows(rows: DataFrame, by: str, count: int, seed: int) -> DataFrame:
     n = rows.count()
     if not n:
         return rows
-    draws = rows.sparkSession.range(-count).select("id", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).alias("rn"))
-    ranked = rows.withColumn("rn", F.row_number().over(Window.orderBy(F.xxhash64(by, F.lit(seed)), by)))  # one key's rows
-    return draws.join(ranked, "rn").orderBy("id").drop("id", "rn")
+    draws = rows.sparkSession.range(-count).select("id", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))).alias("rn"))
+    return draws.join(numbered(rows, "rn", F.xxhash64(by, F.lit(seed)), by), "rn").orderBy("id").drop("id", "rn")
 
 
 def page(rows: DataFrame, by: str, cursor: int, pattern: str = "*", count: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import CommandError
 from tessera.functions.text import byte_range, float_text, glob, integer, overlay_bytes
+from tessera.operators.order import lookup, wanted
 
 
 def is_live(now: datetime) -> Column:
@@ -50,7 +51,7 @@ def get(kv: DataFrame, key: str, now: datetime) -> DataFrame:
 
 def mget(kv: DataFrame, req: DataFrame, now: datetime) -> DataFrame:
     """(pos, key, value) for each request, null where there is none; repeated keys answer each time."""
-    return req.join(live(kv, now).select("key", "value"), "key", "left").select("pos", "key", "value")
+    return lookup(req, live(kv, now).select("key", "value"), "key").select("pos", "key", "value")
 
 
 def strlen(kv: DataFrame, now: datetime) -> DataFrame:
@@ -63,7 +64,7 @@ def getrange(kv: DataFrame, start: int, stop: int, now: datetime) -> DataFrame:
 
 def exists(kv: DataFrame, req: DataFrame, now: datetime) -> DataFrame:
     """(n): requests whose key is live, a repeated request counted each time. Also TOUCH."""
-    return req.join(live(kv, now), "key", "left_semi").agg(F.count("*").alias("n"))
+    return req.join(wanted(live(kv, now).select("key"), req, "key"), "key", "left_semi").agg(F.count("*").alias("n"))
 
 
 def ttl(kv: DataFrame, req: DataFrame, now: datetime, millis: bool = False) -> DataFrame:
@@ -71,7 +72,7 @@ def ttl(kv: DataFrame, req: DataFrame, now: datetime, millis: bool = False) -> D
     left = F.unix_micros("expire_at") - F.unix_micros(F.lit(now).cast("timestamp"))
     left = F.floor(left / (1000 if millis else 1_000_000)).cast("long")
     found = live(kv, now).select("key", F.when(F.col("expire_at").isNull(), F.lit(-1).cast("long")).otherwise(left).alias("ttl"))
-    return req.join(found, "key", "left").select("pos", "key", F.coalesce("ttl", F.lit(-2).cast("long")).alias("ttl"))
+    return lookup(req, found, "key").select("pos", "key", F.coalesce("ttl", F.lit(-2).cast("long")).alias("ttl"))
 
 
 def keys(kv: DataFrame, pattern: str, now: datetime) -> DataFrame:
@@ -96,8 +97,8 @@ def randomkey(kv: DataFrame, now: datetime, seed: int = 0) -> DataFrame:
 
 
 def object_encoding(kv: DataFrame, now: datetime) -> DataFrame:
-    """int for values that counters made (decimal text), embstr up to 23 bytes, else raw."""
-    return live(kv, now).select("key", F.when(F.octet_length("value") <= 23, "embstr").otherwise("raw").alias("encoding"))
+    """int for the decimal text of a 64-bit integer, as counters leave it, embstr up to 23 bytes, else raw."""
+    return live(kv, now).select("key", F.when(integer(F.col("value")).isNotNull(), "int").when(F.octet_length("value") <= 23, "embstr").otherwise("raw").alias("encoding"))
 
 
 def object_info(kv: DataFrame, now: datetime) -> DataFrame:
@@ -115,7 +116,7 @@ def type_of(tables: dict[str, DataFrame], req: DataFrame) -> DataFrame:
     """(pos, key, type): the kind of table that holds each key, `none` where none does."""
     held = None
     for name, df in tables.items():
-        one = df.select("key").distinct().withColumn("type", F.lit(name))
+        one = wanted(df.select("key"), req, "key").distinct().withColumn("type", F.lit(name))
         held = one if held is None else held.unionByName(one)
     first = held.groupBy("key").agg(F.min("type").alias("type"))
     return req.join(first, "key", "left").select("pos", "key", F.coalesce("type", F.lit("none")).alias("type"))
@@ -136,7 +137,7 @@ def set_(kv: DataFrame, new: DataFrame, now: datetime, mode: str | None = None)
 def setnx(kv: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
     """(key, set): 1 where the key was absent and so is written."""
     there = live(kv, now).select("key", F.lit(1).alias("there"))
-    return last_wins(new).join(there, "key", "left").select("key", F.when(F.col("there").isNull(), 1).otherwise(0).cast("long").alias("set"))
+    return lookup(last_wins(new), there, "key").select("key", F.when(F.col("there").isNull(), 1).otherwise(0).cast("long").alias("set"))
 
 
 def msetnx(kv: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
@@ -148,13 +149,13 @@ def msetnx(kv: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
 
 def getset(kv: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
     """(key, old): the values that `new` replaces."""
-    return last_wins(new).select("key").join(live(kv, now).select("key", F.col("value").alias("old")), "key", "left")
+    return lookup(last_wins(new).select("key"), live(kv, now).select("key", F.col("value").alias("old")), "key")
 
 
 def append(kv: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
     """Bytes of `new` after the stored ones; a missing key is made; the expiry stays."""
     old = live(kv, now)
-    grown = new.select("key", F.col("value").alias("more")).join(old, "key", "left").select("key", F.concat(F.coalesce("value", F.lit(b"")), "more").alias("value"), "expire_at")
+    grown = new.select("key", F.col("value").alias("more")).transform(lookup, old, "key").select("key", F.concat(F.coalesce("value", F.lit(b"")), "more").alias("value"), "expire_at")
     return upsert(kv, grown, "key")
 
 
@@ -170,7 +171,7 @@ def _checked(value: Column, ok: Column, message: str) -> Column:
 def incrby(kv: DataFrame, deltas: DataFrame, now: datetime) -> DataFrame:
     """(key, value BIGINT) after adding the deltas (key, delta), those of one key summed first. A value that is no integer, or an overflow, is an error. Also INCR, DECR, DECRBY."""
     total = deltas.groupBy("key").agg(F.try_sum("delta").alias("delta"), F.count("*").alias("asked"))
-    joined = total.join(live(kv, now).select("key", F.col("value").alias("old")), "key", "left")
+    joined = lookup(total, live(kv, now).select("key", F.col("value").alias("old")), "key")
     base = F.when(F.col("old").isNull(), F.lit(0).cast("bigint")).otherwise(integer(F.col("old")))
     base = _checked(base, base.isNotNull(), "ERR value is not an integer or out of range")
     out = F.try_add(base, F.col("delta"))
@@ -180,7 +181,7 @@ def incrby(kv: DataFrame, deltas: DataFrame, now: datetime) -> DataFrame:
 def incrbyfloat(kv: DataFrame, deltas: DataFrame, now: datetime) -> DataFrame:
     """(key, value STRING): sums as shortest text; NaN and infinities are errors."""
     total = deltas.groupBy("key").agg(F.sum(F.col("delta").cast("double")).alias("delta"))
-    joined = total.join(live(kv, now).select("key", F.col("value").cast("string").alias("old")), "key", "left")
+    joined = lookup(total, live(kv, now).select("key", F.col("value").cast("string").alias("old")), "key")
     base = F.when(F.col("old").isNull(), F.lit(0.0)).otherwise(F.col("old").try_cast("double"))
     out = _checked(base, base.isNotNull(), "ERR value is not a valid float") + F.col("delta")
     return joined.select("key", float_text(_checked(out, ~F.isnan(out) & (F.abs(out) < float("inf")), "ERR increment would produce NaN or Infinity")).alias("value"))
@@ -188,7 +189,7 @@ def incrbyfloat(kv: DataFrame, deltas: DataFrame, now: datetime) -> DataFrame:
 
 def store_text(kv: DataFrame, made: DataFrame) -> DataFrame:
     """Results (key, value) of a counter written back with their keys' expiries."""
-    new = made.select("key", F.col("value").cast("string").cast("binary").alias("value")).join(kv.select("key", "expire_at"), "key", "left")
+    new = made.select("key", F.col("value").cast("string").cast("binary").alias("value")).transform(lookup, kv.select("key", "expire_at"), "key")
     return upsert(kv, new, "key")
 
 
@@ -202,6 +203,17 @@ def deleted(kv: DataFrame, req: DataFrame) -> DataFrame:
     return kv.join(req, "key", "left_semi").agg(F.count("*").alias("n"))
 
 
+def getdel(kv: DataFrame, req: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(answers, rest): what MGET answers, and kv without the requested keys."""
+    return mget(kv, req, now), delete(kv, req)
+
+
+def getex(kv: DataFrame, at: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(answers, kv): the values of the keys of at(pos, key, expire_at), and kv with their new expiries; a null one removes the expiry."""
+    kept = persist(kv, at.where("expire_at is null"), now)
+    return mget(kv, at, now), expire(kept, at.where("expire_at is not null").select("key", "expire_at"), now)
+
+
 def expire(kv: DataFrame, at: DataFrame, now: datetime) -> DataFrame:
     """kv with the expiries of at(key, expire_at); a moment that has passed removes the key. Also PEXPIRE, EXPIREAT, PEXPIREAT, SETEX and GETEX's options."""
     moved = live(kv, now).join(at.withColumnRenamed("expire_at", "_at"), "key", "left").withColumn("_set", F.col("_at").isNotNull())

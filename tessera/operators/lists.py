@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.errors import CommandError
 from tessera.functions.text import clamp_range
+from tessera.operators.order import ranked
+
 
 def _ranked(items: DataFrame) -> DataFrame:
     """Items with idx, from 0, and n, their list's length."""
-    return items.withColumns({"idx": F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1, "n": F.count("*").over(Window.partitionBy("key"))})
+    return ranked(items, "idx", "key", F.col("pos"), total="n")
 
 
 def push(items: DataFrame, new: DataFrame, left: bool = False) -> DataFrame:
@@ -96,6 +98,11 @@ def lmove(items: DataFrame, source: str, destination: str, from_left: bool, to_l
     return push(kept, moved.select(F.lit(destination).alias("key"), F.lit(0).alias("ord"), "value"), to_left)
 
 
+def blocking_move(items: DataFrame, source: str, destination: str, from_left: bool, to_left: bool) -> DataFrame:
+    """One try of BLMOVE over the lists as they are: an empty source leaves them so."""
+    return lmove(items, source, destination, from_left, to_left)
+
+
 def first_nonempty(items: DataFrame, req: DataFrame) -> DataFrame:
     """(key) of the first requested list with items, in request order: what a blocking pop takes from."""
     return req.join(items.select("key").distinct(), "key", "left_semi").orderBy("pos").limit(1).select("key")

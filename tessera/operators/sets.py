@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.hashes import random_rows
+from tessera.operators.order import lookup
 
 
 def sadd(members: DataFrame, new: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def smembers(members: DataFrame, key: str) -> DataFrame:
 def smismember(members: DataFrame, req: DataFrame) -> DataFrame:
     """(pos, key, member, present) of each request. Also SISMEMBER."""
     there = members.select("key", "member", F.lit(1).alias("there"))
-    return req.join(there, ["key", "member"], "left").select("pos", "key", "member", F.coalesce("there", F.lit(0)).cast("long").alias("present"))
+    return lookup(req, there, "key", "member").select("pos", "key", "member", F.coalesce("there", F.lit(0)).cast("long").alias("present"))
 
 
 def scard(members: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import CommandError
@@ -75,22 +76,74 @@ def vecdel(vectors: DataFrame, index: str) -> DataFrame:
     return vectors.where(F.col("index") != index)
 
 
-class CellIndex:
-    """An inverted file: vectors dealt to the nearest of `cells` centroids, a query to its nearest `probes` cells. Centroids are a sample of at most `cells` stored vectors."""
+#: Vectors, chosen by a hash of their ids, that centroids are fitted on, and the rounds of fitting.
+FIT_ROWS, FIT_ROUNDS = 10_000, 8
+#: Cells that a search looks into. Vectors without groups, such as random ones of 64 values, need 12 of 16 for nine tenths of their neighbours; grouped ones far fewer.
+PROBES = 12
 
-    def __init__(self, vectors: DataFrame, cells: int = 16, metric: str = "l2") -> None:
-        self.metric = METRICS[metric]
-        self.centroids = [r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()]
-        self.rows = vectors.withColumn("cell", self._nearest(F.col("vec"), 1)[0])
 
-    def _nearest(self, v: Column, n: int) -> Column:
-        ds = F.array(*[F.struct(self.metric(v, F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centroids)])
-        return F.transform(F.slice(F.array_sort(ds), 1, n), lambda s: s["i"])
+def centroids(vectors: DataFrame, cells: int) -> list[list[float]]:
+    """Means of at most `cells` groups of vectors (k-means) over a sample of at most FIT_ROWS of them, equal vectors once."""
+    n = vectors.count()
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    some = vectors if n <= FIT_ROWS else vectors.where(h < FIT_ROWS / n * (1 << 30))
+    rows = [r[0] for r in some.select("vec", h.alias("h"), "id").limit(2 * FIT_ROWS).orderBy("h", "id").select("vec").collect()]
+    x = np.unique(np.array(rows, np.float64), axis=0) if rows else np.zeros((0, 0))
+    c = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)] if len(x) else x
+    for _ in range(FIT_ROUNDS if len(c) else 0):
+        near = _distances(x, c).argmin(1)
+        c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+    return c.tolist()
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None]
+
 
-    def search(self, query: list[float], k: int, probes: int = 4) -> DataFrame:
-        q = F.array(*[F.lit(float(x)) for x in query])
-        hit = self.rows.where(F.array_contains(self._nearest(q, probes), F.col("cell")))
-        return hit.select("id", self.metric(F.col("vec"), q).alias("distance")).orderBy("distance", "id").limit(k)
+class CellIndex:
+    """An inverted file: every vector in the cell of its nearest centroid, a query in the `probes` nearest cells.
+
+    `store` writes the vectors by cell, once; a search of a stored index reads only the folders of its cells. Distances to
+    centroids are Euclidean whatever the metric. With as many probes as cells the search is exact.
+    """
+
+    def __init__(self, vectors: DataFrame, cells: int = 16, metric: str = "l2", means: list[list[float]] | None = None) -> None:
+        self.metric = METRICS[metric]
+        self.centroids = centroids(vectors, cells) if means is None else means
+        self.rows = vectors if "cell" in vectors.columns else vectors.withColumn("cell", self._cells(F.col("vec"), 1)[0])
+
+    def store(self, folder: str) -> None:
+        self.rows.write.partitionBy("cell").parquet(f"{folder}/rows")
+        self.rows.sparkSession.createDataFrame(list(enumerate(self.centroids)), "cell int, mean array<double>").coalesce(1).write.parquet(f"{folder}/means")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, metric: str = "l2") -> CellIndex:
+        means = [r["mean"] for r in spark.read.parquet(f"{folder}/means").orderBy("cell").collect()]
+        return cls(spark.read.parquet(f"{folder}/rows"), metric=metric, means=means)
+
+    def _cells(self, v: Column, n: int) -> Column:
+        """The n nearest cells of a vector: one array of all means, and the least of the distances to them."""
+        if not self.centroids:
+            return F.array(F.lit(0))
+        means = F.array(*[F.array(*map(F.lit, c)) for c in self.centroids])
+        ds = F.transform(means, lambda c, i: F.struct(l2(v, c).alias("d"), i.cast("int").alias("i")))
+        return F.transform(F.array(F.array_min(ds)) if n == 1 else F.slice(F.array_sort(ds), 1, n), lambda s: s["i"])
+
+    def search(self, query: list[float], k: int, probes: int = PROBES) -> DataFrame:
+        """(id, distance) of the k nearest in the query's cells."""
+        cells = _distances(np.array([query], np.float64), np.array(self.centroids))[0].argsort()[:probes].tolist() if self.centroids else [0]
+        return knn(self.rows.where(F.col("cell").isin(cells)), query, k, _name(self.metric))
+
+    def join(self, queries: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
+        """(qid, id, distance, rank) of the k nearest of each query(qid, vec) in its cells: an equality join by cell, of which Spark splits the large ones."""
+        asked = queries.select("qid", F.col("vec").alias("q"), F.explode(self._cells(F.col("vec"), min(probes, max(1, len(self.centroids))))).alias("cell"))
+        near = self.rows.select("id", "vec", "cell").join(asked, "cell").select("qid", "id", self.metric(F.col("vec"), F.col("q")).alias("distance"))
+        w = Window.partitionBy("qid").orderBy("distance", "id")
+        return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _name(metric) -> str:
+    return next(k for k, f in METRICS.items() if f is metric)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

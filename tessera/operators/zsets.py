@@ -11,6 +11,11 @@ from tessera.errors import CommandError
 from tessera.functions.text import clamp_range
 from tessera.operators.hashes import random_rows
 from tessera.operators.keyspace import upsert
+from tessera.operators.order import lookup, ranked, size
+
+
+#: Requests whose ranks are counted without sorting, and the size of a table of them that needs no count; ranks up to which a range keeps rows in the tasks that read them.
+MAX_ASKED, ASKED_BYTES, FIRST_ROWS = 1000, 1 << 14, 100_000
 
 
 def _order(reverse: bool) -> list[Column]:
@@ -21,6 +26,10 @@ def _rn(reverse: bool) -> Column:
     return F.row_number().over(Window.partitionBy("key").orderBy(*_order(reverse)))
 
 
+def _ranked(z: DataFrame, reverse: bool) -> DataFrame:
+    return ranked(z, "rank", "key", F.col("score"), F.col("member"), reverse=reverse, total="n")
+
+
 def zadd(z: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert of scores; of a repeated member the highest pos wins if there is one."""
     if "pos" in new.columns:
@@ -38,13 +47,13 @@ def zrem(z: DataFrame, gone: DataFrame) -> DataFrame:
 
 def zmscore(z: DataFrame, req: DataFrame) -> DataFrame:
     """(pos, key, member, score) of each request, null where there is none. Also ZSCORE."""
-    return req.join(z, ["key", "member"], "left").select("pos", "key", "member", "score")
+    return lookup(req, z, "key", "member").select("pos", "key", "member", "score")
 
 
 def zincrby(z: DataFrame, deltas: DataFrame) -> DataFrame:
     """(key, member, score) after adding deltas; a missing member starts at 0."""
     d = deltas.groupBy("key", "member").agg(F.sum("delta").alias("delta"))
-    return d.join(z, ["key", "member"], "left").select("key", "member", (F.coalesce("score", F.lit(0.0)) + F.col("delta")).alias("score"))
+    return lookup(d, z, "key", "member").select("key", "member", (F.coalesce("score", F.lit(0.0)) + F.col("delta")).alias("score"))
 
 
 def zcard(z: DataFrame) -> DataFrame:
@@ -52,20 +61,25 @@ def zcard(z: DataFrame) -> DataFrame:
 
 
 def zrank(z: DataFrame, req: DataFrame | None = None, reverse: bool = False) -> DataFrame:
-    """(key, member, rank) from 0. For few requests, rank is a count of what stands before, so no set is sorted."""
+    """(key, member, rank) from 0. For few requests, rank is a count of what stands before, so no set is sorted; for many, sets are ranked once."""
+    every = lambda: _ranked(z, reverse).select("key", "member", "rank")
     if req is None:
-        return z.select("key", "member", (_rn(reverse) - 1).cast("long").alias("rank"))
-    at = req.join(z, ["key", "member"]).select("key", F.col("member").alias("m"), F.col("score").alias("s"))
+        return every()
+    if size(req) > ASKED_BYTES and req.limit(MAX_ASKED + 1).count() > MAX_ASKED:
+        return every().join(req.select("key", "member").distinct(), ["key", "member"])
+    at = F.broadcast(z.join(F.broadcast(req.select("key", "member").distinct()), ["key", "member"]).select("key", F.col("member").alias("m"), F.col("score").alias("s")))  # as many rows as req
     before = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") > F.col("m"))) if reverse else (F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("member") < F.col("m")))
     return z.join(at, "key").groupBy("key", "m").agg(F.count_if(before).alias("rank")).withColumnRenamed("m", "member")
 
 
 def zrange(z: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """(key, member, score, rank) of an inclusive range of ranks; negative ranks count from the end."""
-    r = z.withColumn("rank", (_rn(reverse) - 1).cast("long"))
-    if start >= 0 and stop >= 0:
+    if 0 <= start <= stop <= FIRST_ROWS:
+        r = z.withColumn("rank", (_rn(reverse) - 1).cast("long"))
         return r.where(F.col("rank").between(start, stop)).select("key", "member", "score", "rank")  # a bounded window: Spark keeps the first rows of each task only
-    r = r.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    r = _ranked(z, reverse)
+    if start >= 0 and stop >= 0:
+        return r.where(F.col("rank").between(start, stop)).select("key", "member", "score", "rank")
     a, b = clamp_range(F.col("n"), start, stop)
     return r.where((F.col("rank") >= a) & (F.col("rank") <= b)).select("key", "member", "score", "rank")
 

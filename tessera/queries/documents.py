@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.database import Database
+from tessera.errors import CommandError
 from tessera.operators import docs
 from tessera.plans.where import Find, parse_find
-from tessera.queries.base import T, query
+from tessera.queries.base import NOW, T, query
 from tessera.sources import snapshot
 from tessera.streaming import cdc, pubsub, windows
 
@@ -19,9 +21,9 @@ def doc_find_flagship(t: T) -> DataFrame:
     return docs.find(t.customer, parse_find(_FLAGSHIP.split(" ")), "c_custkey")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT (p_size > 10 AND p_brand = 'Brand#11') AND p_retailprice >= 1000 ORDER BY p_size, p_partkey LIMIT 50 OFFSET 25")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT (p_size > 10 AND p_brand = 'Brand#11') AND p_retailprice >= 950 ORDER BY p_size, p_partkey LIMIT 50 OFFSET 25")
 def doc_find_page(t: T) -> DataFrame:
-    return docs.find(t.part, Find("NOT (p_size > 10 AND p_brand = 'Brand#11') AND p_retailprice >= 1000", "p_size", limit=50, offset=25, project=("p_partkey", "p_name")), "p_partkey")
+    return docs.find(t.part, Find("NOT (p_size > 10 AND p_brand = 'Brand#11') AND p_retailprice >= 950", "p_size", limit=50, offset=25, project=("p_partkey", "p_name")), "p_partkey")
 
 
 @query("SELECT count(*) AS n FROM part WHERE p_type <> '5' AND coalesce(p_size <> 7, true)")
@@ -61,10 +63,11 @@ def doc_variant_count(t: T) -> DataFrame:
     return docs.count_variant(t.props, "k != 42 AND NOT k = 'x' AND NOT missing EXISTS")
 
 
-@query("SELECT event_id AS doc_seq, CAST(json_extract(props, '$.k') AS BIGINT) + 5 AS k, 'v' AS tag FROM events")
+@query("SELECT event_id AS doc_seq, CAST(json_extract(props, '$.k') AS BIGINT) + 5 AS k, 'v' AS tag, '[2,\"x\"]' AS list, NULL AS gone FROM events")
 def doc_update(t: T) -> DataFrame:
-    made = docs.update(t.props, [("INCR", "k", 5), ("SET", "a.tag", "v"), ("PUSH", "list", 1), ("PULL", "list", 1)])
-    return made.select("doc_seq", F.try_variant_get("body", "$.k", "bigint").alias("k"), F.try_variant_get("body", "$.a.tag", "string").alias("tag"))
+    made = docs.update(t.props, [("INCR", "k", 5), ("SET", "a.tag", "v"), ("PUSH", "list", 1), ("PUSH", "list", 2), ("PUSH", "list", 1), ("PUSH", "list", "x"), ("PULL", "list", 1), ("SET", "gone", True), ("DEL", "gone")])
+    listed = F.to_json(F.try_variant_get("body", "$.list", "variant")).alias("list")
+    return made.select("doc_seq", F.try_variant_get("body", "$.k", "bigint").alias("k"), F.try_variant_get("body", "$.a.tag", "string").alias("tag"), listed, F.try_variant_get("body", "$.gone", "string").alias("gone"))
 
 
 @query("SELECT event_id AS doc_seq, CAST(json_extract(props, '$.k') AS BIGINT) * CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) < 50 THEN 0 ELSE 1 END AS k FROM events")
@@ -107,7 +110,7 @@ def doc_dictinfo(t: T) -> DataFrame:
     return docs.dictionary_info(made, ["lang", "source", "n_chars"])
 
 
-@query()
+@query(", s AS (SELECT strlen(replace(props, ' ', '')) AS n FROM events) SELECT count(*) AS doc_count, CAST(sum(n) AS BIGINT) AS total_bytes, min(n) AS min_bytes, max(n) AS max_bytes, CAST(floor(sum(n) / count(*)) AS BIGINT) AS avg_bytes FROM s")
 def doc_storage(t: T) -> DataFrame:
     return docs.storage_info(t.props)
 
@@ -208,25 +211,25 @@ def log_compact(t: T) -> DataFrame:
 
 
 def _pel(t: T) -> DataFrame:
-    return _log(t).where("seq < 60").select(F.lit("g").alias("group"), F.concat(F.lit("c"), F.col("seq") % 3).alias("consumer"), "seq", (F.col("seq") * 1000).alias("delivered_ms"), F.lit(1).cast("long").alias("deliveries"))
+    return _log(t).where("seq % 5 != 0").select(F.lit("g").alias("group"), F.concat(F.lit("c"), F.col("seq") % 3).alias("consumer"), "seq", (F.col("seq") * 1000).alias("delivered_ms"), F.lit(1).cast("long").alias("deliveries"))
 
 
-@query(f", {_LOG} SELECT *, true AS redelivered FROM l WHERE seq < 60 AND seq % 3 <> 0 AND 70000 - seq * 1000 >= 30000 UNION ALL (SELECT *, false FROM l WHERE seq >= 60 ORDER BY seq LIMIT 40 - (SELECT count(*) FROM l WHERE seq < 60 AND seq % 3 <> 0 AND 70000 - seq * 1000 >= 30000))")
+@query(f", {_LOG} SELECT *, true AS redelivered FROM l WHERE seq % 5 <> 0 AND seq % 3 <> 0 AND 70000 - seq * 1000 >= 30000 UNION ALL (SELECT *, false FROM l WHERE seq >= 60 ORDER BY seq LIMIT 40 - (SELECT count(*) FROM l WHERE seq % 5 <> 0 AND seq % 3 <> 0 AND 70000 - seq * 1000 >= 30000))")
 def cdc_group_read(t: T) -> DataFrame:
-    return cdc.group_read(_log(t), t.rows([("g", 60)], "group string, next_seq long"), _pel(t), "g", "c0", 40, 70000)
+    return cdc.group_read(_log(t), cdc.group_create(t.rows([], "group string, next_seq long"), "g", 60), _pel(t), "g", "c0", 40, 70000)
 
 
-@query(f", {_LOG} SELECT seq, 'c' || (seq % 3) AS consumer, 70000 - seq * 1000 AS idle, 1 AS deliveries FROM l WHERE seq < 60 AND seq % 2 = 1")
+@query(f", {_LOG} SELECT seq, 'c' || (seq % 3) AS consumer, 70000 - seq * 1000 AS idle, 1 AS deliveries FROM l WHERE seq % 5 <> 0 AND seq % 2 = 1")
 def cdc_pending(t: T) -> DataFrame:
-    done = _log(t).where("seq < 60 and seq % 2 = 0").select(F.lit("g").alias("group"), "seq")
+    done = _log(t).where("seq % 2 = 0").select(F.lit("g").alias("group"), "seq")
     return cdc.pending(cdc.ack(_pel(t), done), "g", 70000)
 
 
-@query(", b AS (SELECT c_name AS key, c_mktsegment AS v FROM customer WHERE c_custkey <= 1000), a AS (SELECT c_name AS key, CASE WHEN c_custkey % 5 = 0 THEN 'changed' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey > 100), x AS (SELECT key, b.v AS o, a.v AS n FROM b FULL JOIN a USING (key) WHERE b.v IS DISTINCT FROM a.v) SELECT 99 + row_number() OVER (ORDER BY key) AS seq, 7 AS ts_ms, CASE WHEN n IS NULL THEN 'DEL' ELSE 'SET' END AS op, key, n AS value FROM x")
+@query(", b AS (SELECT c_name AS key, c_mktsegment AS v FROM customer WHERE c_nationkey <> 7), a AS (SELECT c_name AS key, CASE WHEN c_custkey % 5 = 0 THEN 'changed' ELSE c_mktsegment END AS v FROM customer WHERE c_nationkey <> 3), x AS (SELECT key, b.v AS o, a.v AS n FROM b FULL JOIN a USING (key) WHERE b.v IS DISTINCT FROM a.v) SELECT 99 + row_number() OVER (ORDER BY key) AS seq, 7 AS ts_ms, CASE WHEN n IS NULL THEN 'DEL' ELSE 'SET' END AS op, key, n AS value FROM x")
 def cdc_changes(t: T) -> DataFrame:
-    c = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
-    after = c.where("k > 100").withColumn("value", F.when(F.col("k") % 5 == 0, "changed").otherwise(F.col("value")))
-    return cdc.changes(c.where("k <= 1000"), after, 100, 7)
+    c = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    after = c.where("n != 3").withColumn("value", F.when(F.col("k") % 5 == 0, "changed").otherwise(F.col("value")))
+    return cdc.changes(c.where("n != 7"), after, 100, 7)
 
 
 # --- event time, on the batch form of the streaming plans
@@ -240,3 +243,34 @@ def stream_tumbling(t: T) -> DataFrame:
 @query(", s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, user_id, count(*) AS n FROM g GROUP BY user_id, k")
 def stream_sessions(t: T) -> DataFrame:
     return windows.sessions(t.events, "ts", "user_id", "6 hours", "1 hour")
+
+
+# --- commands: their replies as text
+
+
+def _replies(t: T, script: str) -> DataFrame:
+    db = Database(t.spark, lambda: NOW)
+    out = []
+    for i, line in enumerate(script.strip().splitlines()):
+        try:
+            reply = db.execute(*line.strip().split(" "))
+        except CommandError as e:
+            reply = e
+        out.append((i, str(reply)))
+    return t.rows(out, "pos int, reply string")
+
+
+def _expected(*replies: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, r.replace("'", "''")) for i, r in enumerate(replies)) + ") v(pos, reply)"
+
+
+@query(_expected("OK", "QUEUED", "QUEUED", "QUEUED", "ERR MULTI calls can not be nested", "[1, 2, b'2']", "ERR EXEC without MULTI", "OK", "QUEUED", "OK", "b'2'", "OK", "int", "['OBJECT FREQ|ENCODING|REFCOUNT|IDLETIME key']"))
+def db_transaction(t: T) -> DataFrame:
+    return _replies(t, "MULTI\nINCR n\nINCR n\nGET n\nMULTI\nEXEC\nEXEC\nMULTI\nDEL n\nDISCARD\nGET n\nWATCH n\nOBJECT ENCODING n\nOBJECT HELP")
+
+
+@query(_expected("OK", "ERR collection already exists", "OK", "1", "{'doc_count': 2, 'dictionary_entries': 1, 'compression': 'none'}", "1", "ERR unknown collection", "0"))
+def db_documents(t: T) -> DataFrame:
+    made = _replies(t, 'DOC.CREATE c COMPRESSION none\nDOC.CREATE c\nDOC.SET c a {"x":"y"}\nDOC.INSERT c {"n":1}\nDOC.INFO c\nDOC.DROP c\nDOC.COUNT c WHERE n = 1\nDOC.DROP c')
+    at = F.regexp_replace("reply", r"^\{'created_at': \d+, 'compression': 'none', (.*)\}$", "{$1, 'compression': 'none'}")
+    return made.select("pos", at.alias("reply"))

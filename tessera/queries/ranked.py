@@ -236,6 +236,23 @@ def stream_delconsumer(t: T) -> DataFrame:
     return out
 
 
+def _groups(t: T) -> DataFrame:
+    none = t.rows([], "key string, `group` string, last_ms long, last_seq long")
+    return streams.group_create(streams.group_create(none, t.stream_entries, "view", "new"), t.stream_entries, "click", "old", "5-1")
+
+
+@query("SELECT 'view' AS key, 'new' AS \"group\", ms AS last_ms, seq AS last_seq FROM (SELECT * FROM stream_entries WHERE key = 'view' ORDER BY ms DESC, seq DESC LIMIT 1) UNION ALL SELECT 'click', 'old', 5, 1")
+def stream_group_create(t: T) -> DataFrame:
+    return _groups(t)
+
+
+@query("SELECT 'click' AS key, 'old' AS \"group\", 5 AS last_ms, 1 AS last_seq, (SELECT count(*) FROM stream_pel WHERE key <> 'view') AS pending")
+def stream_group_destroy(t: T) -> DataFrame:
+    pel = t.stream_pel.withColumn("group", F.when(F.col("key") == "view", "new").otherwise("old"))
+    groups, left = streams.group_destroy(_groups(t), pel, "view", "new")
+    return groups.crossJoin(left.agg(F.count("*").alias("pending")))  # one row
+
+
 # --- sketches and statistics
 
 
@@ -245,6 +262,15 @@ def hll_pfcount(t: T) -> DataFrame:
     return sketches.pfcount(s, ["click", "view"])
 
 
+@query("SELECT key, CASE key WHEN 'both' THEN true ELSE false END AS merged FROM (SELECT DISTINCT o_orderpriority AS key FROM orders UNION ALL SELECT 'both')")
+def hll_pfmerge(t: T) -> DataFrame:
+    new = t.orders.select(F.col("o_orderpriority").alias("key"), F.col("o_custkey").alias("element"))
+    s = sketches.pfmerge(sketches.pfadd(t.rows([], "key string, sketch binary"), new), "both", ["1-URGENT", "2-HIGH"])
+    n = F.hll_sketch_estimate("sketch")
+    both = t.orders.where("o_orderpriority in ('1-URGENT', '2-HIGH')").agg(F.countDistinct("o_custkey").alias("true"))
+    return s.crossJoin(both).select("key", ((F.col("key") == "both") & (F.abs(n - F.col("true")) <= 0.05 * F.col("true"))).alias("merged"))  # one row
+
+
 @query("SELECT true AS near")
 def hll_within_bounds(t: T) -> DataFrame:
     new = t.orders.select(F.col("o_orderpriority").alias("key"), F.col("o_custkey").alias("element"))
@@ -329,9 +355,10 @@ def bitmap_bitop_or(t: T) -> DataFrame:
     return bitmaps.bitop(_bm(t), "OR", "dest", ["click", "view"])
 
 
-@query(_bitop_sql("bit_xor"))
+@query(f", b AS (SELECT DISTINCT event_type AS key, user_id * 7 + event_id % 5 AS o FROM events), {_BM.replace('FROM bits', 'FROM (SELECT key, o AS {}offset{} FROM b)'.format(chr(34), chr(34)))} SELECT 'dest' AS key, byte, CAST(bit_xor(bits) AS INT) AS bits FROM bm WHERE key IN ('click', 'view') GROUP BY byte HAVING bit_xor(bits) <> 0")
 def bitmap_bitop_xor(t: T) -> DataFrame:
-    return bitmaps.bitop(_bm(t), "XOR", "dest", ["click", "view"])
+    spread = t.events.select(F.col("event_type").alias("key"), (F.col("user_id") * 7 + F.col("event_id") % 5).alias("offset")).distinct()
+    return bitmaps.bitop(bitmaps.from_offsets(spread), "XOR", "dest", ["click", "view"])
 
 
 @query(f", {_BM}, x AS (SELECT unnest(range(0, (SELECT max(byte) + 1 FROM bm WHERE key = 'click'))) AS byte) SELECT 'dest' AS key, byte, xor(255, coalesce(bits, 0)) AS bits FROM x LEFT JOIN (FROM bm WHERE key = 'click') USING (byte) WHERE coalesce(bits, 0) <> 255")
@@ -404,7 +431,15 @@ def geo_geoadd_xx(t: T) -> DataFrame:
     return geo.geoadd(t.geo, t.geo.select(F.lit("BUILDING").alias("key"), "member", F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat")), "XX")
 
 
-@query()
+_BITS = "CAST(list_sum(list_transform(range(0, 26), lambda i: ((({x} >> (25 - i)) & 1) << (2 * (25 - i) + 1)) + ((({y} >> (25 - i)) & 1) << (2 * (25 - i))))) AS BIGINT)"
+_GRID = "CAST(least(floor(({c} + {w}) / {s} * 67108864), 67108863) AS BIGINT)"
+
+
+@query(
+    f", g AS (SELECT key, member, {_GRID.format(c='lon', w='180.0', s='360.0')} AS x, {_GRID.format(c='lat', w='85.05112878', s='170.10225756')} AS y, {_GRID.format(c='lat', w='90.0', s='180.0')} AS z FROM geo),"
+    f" h AS (SELECT key, member, {_BITS.format(x='x', y='y')} AS hash, {_BITS.format(x='x', y='z')} << 3 AS v FROM g)"
+    " SELECT key, member, array_to_string(list_transform(range(0, 11), lambda i: substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST((v >> (50 - 5 * i)) & 31 AS INT) + 1, 1)), '') AS geohash, hash FROM h"
+)
 def geo_geohash(t: T) -> DataFrame:
     return t.geo.select("key", "member", geo.geohash(F.col("lon"), F.col("lat")).alias("geohash"), geo.geohash_int(F.col("lon"), F.col("lat")).alias("hash"))
 
@@ -456,6 +491,22 @@ def vector_vecdel(t: T) -> DataFrame:
     return vectors.vecdel(t.vectors, "main").agg(F.count("*").alias("n"))
 
 
-@query()
+_KNN5 = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings), k AS (SELECT q.id AS qid, v.id, array_distance(v.e, q.e) AS distance, row_number() OVER (PARTITION BY q.id ORDER BY array_distance(v.e, q.e), v.id) AS rank FROM v, v q WHERE q.id % 50 = 0 QUALIFY rank <= 5)"
+
+
+def _asked(t: T) -> DataFrame:
+    return t.vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
+
+
+@query(f", {_KNN5} SELECT * FROM k")
 def vector_cells(t: T) -> DataFrame:
-    return vectors.CellIndex(t.vectors, 8).search(_first(t), 10, 6)
+    """All cells probed: the exact way through the index."""
+    return vectors.CellIndex(t.vectors).join(_asked(t), 5, 16)
+
+
+@query("SELECT true AS enough, count(*) * 5 AS wanted FROM embeddings WHERE vec_id % 50 = 0")
+def vector_cells_recall(t: T) -> DataFrame:
+    """At the default setting, against all vectors."""
+    truth = vectors.knn_join(t.vectors, _asked(t), 5)
+    found = vectors.CellIndex(t.vectors).join(_asked(t), 5)
+    return vectors.recall(found, truth).select((F.col("recall") >= 0.9).alias("enough")).crossJoin(truth.agg(F.count("*").alias("wanted")))  # one row each

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.errors import CommandError
 from tessera.functions.text import glob
+from tessera.operators.order import numbered
 
 OPS = ("SET", "DEL", "EXPIRE", "HSET", "LPUSH", "RPUSH", "SADD", "FLUSHDB")
 SCHEMA = "seq long, ts_ms long, op string, key string, value string"
@@ -17,8 +19,7 @@ def changes(before: DataFrame, after: DataFrame, seq: int, ts_ms: int) -> DataFr
     o, n = before.select("key", F.col("value").alias("old")), after.select("key", F.col("value").alias("new"))
     j = o.join(n, "key", "full").where(~F.col("old").eqNullSafe(F.col("new")))
     ops = j.select(F.when(F.col("new").isNull(), "DEL").otherwise("SET").alias("op"), "key", F.col("new").cast("string").alias("value"))
-    rn = F.row_number().over(Window.orderBy("key"))
-    return ops.select((seq + rn - 1).cast("long").alias("seq"), F.lit(ts_ms).cast("long").alias("ts_ms"), "op", "key", "value")
+    return numbered(ops, "rn", F.col("key")).select((seq + F.col("rn")).cast("long").alias("seq"), F.lit(ts_ms).cast("long").alias("ts_ms"), "op", "key", "value")
 
 
 def poll(events: DataFrame, cursor: int, count: int) -> DataFrame:
@@ -53,6 +54,13 @@ def stream(spark: SparkSession, folder: str, per_trigger: int | None = None) ->
 # --- groups: pel(group, consumer, seq, delivered_ms, deliveries), groups(group, next_seq)
 
 
+def group_create(groups: DataFrame, group: str, start: int) -> DataFrame:
+    """groups with one more, that reads from a sequence number on."""
+    if not groups.where(F.col("group") == group).isEmpty():
+        raise CommandError("BUSYGROUP Consumer Group name already exists")
+    return groups.unionByName(groups.sparkSession.range(1).select(F.lit(group).alias("group"), F.lit(start).cast("long").alias("next_seq")))
+
+
 def group_read(events: DataFrame, groups: DataFrame, pel: DataFrame, group: str, consumer: str, count: int, now_ms: int) -> DataFrame:
     """Events that a consumer gets: first those of others that were idle for 30 s, then new ones; redelivered is true for the first kind."""
     own = pel.where(F.col("group") == group)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import glob, glob_regex
 
 
+#: Characters of a glob's text by which it meets channels.
+PART = 32
+
+
 def subscribe(subscriptions: DataFrame, new: DataFrame) -> DataFrame:
     """Adds (conn, kind, pattern) rows, kind `exact` or `glob`; a repeated one counts once."""
     return subscriptions.unionByName(new).distinct()
@@ -42,13 +46,25 @@ def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
         fits = F.array_compact(F.array(*[F.when(glob(F.col("channel"), p), p) for p in chosen])) if chosen else F.array().cast("array<string>")
         matched = names.select("channel", F.explode(fits).alias("pattern"))
     else:
-        pats = by_glob.select("pattern").distinct()
-        rx = F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([^A-Za-z0-9_*? ])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-        matched = names.join(pats.withColumn("rx", rx), F.expr("channel rlike rx")).select("channel", "pattern")
+        matched = _matched(names, by_glob.select("pattern").distinct())
     pairs = exact.unionByName(matched.join(by_glob, "pattern").select("conn", "channel", "pattern"))
     return messages.join(pairs, "channel").select("channel", "message", "conn", "pattern")
 
 
+def _matched(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(channel, pattern) that fit, for many patterns: a glob meets the channels that begin with its text before the first wildcard, or
+    end with that after the last one, by an equality join; only globs with wildcards at both ends meet every channel."""
+    head, tail = F.regexp_extract("pattern", r"^[^*?]*", 0), F.regexp_extract("pattern", r"[^*?]*$", 0)
+    rx = F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([^A-Za-z0-9_*? ])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
+    side = F.when(head != "", "head").when(tail != "", "tail").otherwise("none")
+    pats = patterns.select("pattern", rx.alias("rx"), side.alias("side"), F.when(head != "", F.substring(head, 1, PART)).otherwise(F.right(tail, F.lit(PART))).alias("part"))
+    parts = pats.where("side != 'none'").select("side", F.length("part")).distinct().collect()  # at most 2 x PART rows
+    cut = [F.struct(F.lit(k).alias("side"), (F.substring("channel", 1, n) if k == "head" else F.right("channel", F.lit(n))).alias("part")) for k, n in parts]
+    cut.append(F.struct(F.lit("none").alias("side"), F.lit("").alias("part")))
+    keyed = names.select("channel", F.explode(F.array(*cut)).alias("k")).select("channel", "k.side", "k.part")
+    return keyed.join(pats, ["side", "part"]).where(F.expr("channel rlike rx")).select("channel", "pattern").distinct()
+
+
 def publish_counts(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(channel, message, receivers): what PUBLISH returns."""
     d = deliveries(messages, subscriptions).groupBy("channel", "message").agg(F.count("*").alias("receivers"))
