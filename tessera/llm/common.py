@@ -37,6 +37,25 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def window_hashes(hashes: Column, n: int) -> Column:
+    """Hashes of all windows of n words, from the words' hashes (n at least).
+
+    The hashes of 2, 4, 8.. words come from those of half as many, and the last step joins the two that cover the n words
+    from either end: each word is hashed once for each doubling and not once for each window that it is in.
+    """
+
+    def joined(h: Column, shift: int) -> Column:
+        return F.zip_with(h, F.slice(h, shift + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))  # the last ones are cut off below
+
+    def grow(h: Column, width: int) -> Column:
+        if width == n:
+            return F.slice(h, 1, F.size(h) - n + 1)
+        wider = min(2 * width, n)
+        return let(joined(h, wider - width), lambda w: grow(w, wider))
+
+    return grow(hashes, 1)
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text falls in fold 0; a null id is in no fold and so isn't held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
