@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, ascii_lower, let, quoted, words, written
+from tessera.llm.common import LOWER, UPPER, ascii_lower, let, quoted, window_hashes, words, written
 
 # Frequent function words of four languages. Those of other labels are learned.
 COMMON_WORDS = {
@@ -50,21 +50,25 @@ def _listed(lists: dict[str, list[str]]) -> list[str]:
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     """How many words stand in windows that occur twice or more.
 
-    Distinct hashes prove distinct windows, and then nothing is repeated; else the windows themselves are
-    sorted and neighbours compared.
+    Distinct hashes prove distinct windows, and then nothing is repeated; else the windows that share a hash
+    are sorted themselves and neighbours compared.
     """
     zero = F.lit(0).cast("long")
 
-    def exact(w: Column) -> Column:
-        grams = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, window)).alias("g"), i.alias("i"))))
-        twice = let(grams, lambda s: F.transform(F.filter(s, lambda x, k: (F.get(s, k - 1)["g"] == x["g"]) | (F.get(s, k + 1)["g"] == x["g"])), lambda x: x["i"]))
+    def twice(made: Column, key: str) -> Column:
+        """Of structs, those that share their key with another."""
+        return let(F.array_sort(made), lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)[key] == x[key]) | (F.get(s, k + 1)[key] == x[key])))
+
+    def exact(w: Column, h: Column) -> Column:
+        alike = twice(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))), "h")
+        grams = twice(F.transform(alike, lambda x: F.struct(F.concat_ws(" ", F.slice(w, x["i"] + 1, window)).alias("g"), x["i"].alias("i"))), "g")
         start = F.struct(zero.alias("c"), zero.alias("e"))
         step = lambda a, i: F.struct((a["c"] + i + window - F.greatest(a["e"], i.cast("long"))).alias("c"), (i + window).cast("long").alias("e"))
-        return F.aggregate(F.array_sort(twice), start, step, lambda a: a["c"])
+        return F.aggregate(F.array_sort(F.transform(grams, lambda x: x["i"])), start, step, lambda a: a["c"])
 
     def hashed(w: Column) -> Column:
-        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(F.slice(h, i + 1, window))))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(exact(w)))
+        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: window_hashes(h, window))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(exact(w, h)))
 
     return let(ws, lambda w: F.when(F.size(w) <= window, zero).otherwise(hashed(w)))
 
