@@ -1,12 +1,15 @@
 """Decontamination, quality and licence operators: SQL on whole tables, edge cases by hand."""
 
 import os
+import random
 import textwrap
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, licenses, quality, registry
+from tessera.llm.common import window_hashes, words
 
 
 def sql(sf, text):
@@ -194,3 +197,32 @@ def test_native_operators_run_no_python(spark, sf, capsys):
         registry.queries()[name](spark, sf).explain()
         plan = capsys.readouterr().out
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_window_hashes_tell_windows_apart(spark):
+    rows = [(i, [hash((i * j) % 3) for j in range(i)]) for i in range(1, 24)]
+    df = spark.createDataFrame(rows, "k int, h array<long>")
+    for n in (1, 2, 3, 5, 8, 13, 17):
+        seen = {}
+        for r in df.where(F.size("h") >= n).select("h", window_hashes(F.col("h"), n).alias("w")).collect():
+            assert len(r["w"]) == len(r["h"]) - n + 1
+            for i, x in enumerate(r["w"]):
+                assert seen.setdefault(tuple(r["h"][i : i + n]), x) == x
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_words_are_counted_as_they_are_split(spark):
+    texts = [None, "", " ", "a", "\u00e9\U0001F600a b\x80x\x7fy", "  A9z\n\u00ffZ@[`{", "\x00a\x2f0\x3a9", "don't stop-now 3.14"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.where(decontam.n_words(F.col("text")) != F.size(decontam.item_words(F.col("text")))).count() == 0
+
+
+def test_repeats_equal_a_plain_count(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choices("ab", k=n)) for n in range(40)] + [" ".join(map(str, range(30))), "a b c d e f a b c d e"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", quality.repeated_words(words(F.col("text"))).alias("n"))
+    for row in df.collect():
+        ws = row["text"].split()
+        grams = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+        hit = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)}
+        assert row["n"] == len(hit), row["text"]
