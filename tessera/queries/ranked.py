@@ -236,20 +236,20 @@ def stream_delconsumer(t: T) -> DataFrame:
     return out
 
 
-def _groups(t: T) -> DataFrame:
+def _created(t: T) -> DataFrame:
     none = t.rows([], "key string, `group` string, last_ms long, last_seq long")
     return streams.group_create(streams.group_create(none, t.stream_entries, "view", "new"), t.stream_entries, "click", "old", "5-1")
 
 
 @query("SELECT 'view' AS key, 'new' AS \"group\", ms AS last_ms, seq AS last_seq FROM (SELECT * FROM stream_entries WHERE key = 'view' ORDER BY ms DESC, seq DESC LIMIT 1) UNION ALL SELECT 'click', 'old', 5, 1")
 def stream_group_create(t: T) -> DataFrame:
-    return _groups(t)
+    return _created(t)
 
 
 @query("SELECT 'click' AS key, 'old' AS \"group\", 5 AS last_ms, 1 AS last_seq, (SELECT count(*) FROM stream_pel WHERE key <> 'view') AS pending")
 def stream_group_destroy(t: T) -> DataFrame:
     pel = t.stream_pel.withColumn("group", F.when(F.col("key") == "view", "new").otherwise("old"))
-    groups, left = streams.group_destroy(_groups(t), pel, "view", "new")
+    groups, left = streams.group_destroy(_created(t), pel, "view", "new")
     return groups.crossJoin(left.agg(F.count("*").alias("pending")))  # one row
 
 

@@ -1,8 +1,10 @@
 """Every registered query against its SQL on the smallest tables; streams; sources; the entry without the training-data subpackage."""
 
+import ast
 import os
 import subprocess
 import sys
+from collections import Counter
 
 import duckdb
 import pytest
@@ -47,6 +49,16 @@ def test_query(spark, duck, name):
     assert rows(got.select(*[F.col(f"`{c}`") for c in cols]).collect()) == rows(want.select(picked).fetchall())
 
 
+def test_no_helper_of_the_queries_is_defined_twice():
+    """A second function of a name would stand in for the first wherever a query calls it."""
+    folder = os.path.join(ROOT, "tessera", "queries")
+    for f in os.listdir(folder):
+        if f.endswith(".py"):
+            with open(os.path.join(folder, f)) as source:
+                names = Counter(n.name for n in ast.parse(source.read()).body if isinstance(n, ast.FunctionDef | ast.ClassDef))
+            assert not [(f, n) for n, c in names.items() if c > 1]
+
+
 @needs_tables
 def test_cells_reach_nine_tenths_recall(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.lit("main").alias("index"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
