@@ -261,8 +261,8 @@ def links(docs: DataFrame, reps: DataFrame, *, repeated: bool = True, exact: boo
     Short inverted lists give all their pairs. In a long list each document is compared with a leader, the one
     with most values in long lists; while that leaves many pairs and joins many documents, those outside the
     leader's component choose a new one. So a large group of near copies costs a few comparisons for each
-    document and not all pairs. Documents of long lists that still hold more than one component (all documents if `exact`) are
-    then joined exactly, by the rarest values of their full sets.
+    document and not all pairs. A leader speaks for nobody but itself: all documents of long lists that hold more than one
+    component in the end, resolved ones too (all documents if `exact`), are then joined exactly, by the rarest values of their full sets.
     """
     post = reps.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     shared = written(post.join(post.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v"))
@@ -283,16 +283,16 @@ def links(docs: DataFrame, reps: DataFrame, *, repeated: bool = True, exact: boo
         if now > before * 3 / 4 or (sizes[1] or 0) <= few:
             break
         before = now
-    if now or exact:
-        ids = reps.select("id") if exact else lists.join(todo.select("v").distinct(), "v", "left_semi").select("id").distinct()
-        ids = written(ids)
+    open_lists = written(_labelled(lists, comps, "id").groupBy("v").agg(F.min("id_in").alias("p"), F.max("id_in").alias("q")).where("p != q").select("v"))
+    if exact or not open_lists.isEmpty():
+        ids = written(reps.select("id") if exact else lists.join(_small(open_lists), "v", "left_semi").select("id").distinct())
         sets = written(_full_sets(docs, ids, repeated))
         more = written(_similar(pairs_across(ordered_prefixes(sets), comps), sets))
         discard(ids, sets)
         if not more.isEmpty():
             edges = written(edges.union(more).distinct())
             comps = components(edges)
-    discard(shared, todo, *used)
+    discard(shared, todo, open_lists, *used)
     return edges, comps
 
 

@@ -373,6 +373,30 @@ def test_families_that_share_their_heavy_values(spark, exact):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_families_linked_by_other_documents_than_their_leaders(spark):
+    """Two large families, each joined by its own leader, and a link between two documents that are no leaders: types 0-2-4-6 variants apart."""
+    texts = {}
+
+    def add(variants, edit=None):
+        own = [f"s{i}_{int(i < variants)}_{j}" for i in range(20) for j in range(30)]
+        if edit is not None:
+            own[edit] = f"e{len(texts)}"
+        texts[len(texts)] = " ".join(own)
+
+    for variants in (0, 6):
+        add(variants)
+        for e in range(160):
+            add(variants, 200 + e)
+    add(2)
+    add(4)
+    sets = brute_sets(texts)
+    want = brute_components(sets)
+    assert set(want.values()) == {0}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_components_of_long_paths_and_trees(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FOREST_EDGES", 3)
     r = random.Random(4)
