@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -37,6 +38,19 @@ _INDEX = struct.Struct("<QIIQH")  # offset, size, entries, ids before, key bytes
 SHARD_BYTES = 256 << 20
 #: Words of a generation whose ids a worker remembers (it keeps two), and the longest word remembered.
 CACHE, CACHED_WORD = 600_000, 64
+#: ASCII punctuation but the apostrophe, and the steps of a tokenizer that cut a word between ASCII letters and such marks after them
+#: and do nothing else to the letters than to lower them.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 def pack_key(doc_id: int | None) -> bytes:
@@ -179,37 +193,75 @@ class Table:
         return out
 
 
+def _merges_alone(path: str) -> Tokenizer | None:
+    """The tokenizer without the steps before its merges, if they are _STEPS and no added token is letters with marks after them."""
+    whole = Tokenizer.from_file(path)
+    own = json.loads(whole.to_str())
+    added = [t["content"].encode() for t in own["added_tokens"]]
+    if (own["normalizer"], own["pre_tokenizer"]) != _STEPS or own["model"]["type"] != "BPE" or any(not h or h.isalpha() for h in (t.rstrip(_MARKS) for t in added)):
+        return None
+    whole.normalizer = whole.pre_tokenizer = None
+    return whole
+
+
 class WordEncoder:
     """The tokenizers library over the distinct words between ASCII white space, whose ids are remembered.
 
     The tokenizer's own steps treat white space as a break and drop it, so the ids of a text are those of its
-    words, one after another.
+    words, one after another. Where its steps are _STEPS, the ids of ASCII letters with marks after them are those of the
+    lowered letters, which need the tokenizer's merges alone, and those of the marks.
     """
 
     def __init__(self, path: str, width: int) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _merges_alone(path)
         self.kind = {2: "<u2", 4: "<u4"}[width]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _made(self, new: list[bytes]) -> Iterator[bytes]:
-        """Packed ids of each word. One call encodes them all as words of one sequence."""
-        got = self.tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
+    def _coded(self, tokenizer: Tokenizer, new: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word and its packed ids. One call encodes them all as words of one sequence."""
+        new = list(new)
+        if not new:
+            return iter(())
+        got = tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
         ids, of = np.array(got.ids, self.kind), np.array(got.word_ids, np.int64)
-        cuts = np.searchsorted(of, np.arange(len(new) + 1)) * ids.itemsize
+        cuts = (np.searchsorted(of, np.arange(len(new) + 1)) * ids.itemsize).tolist()
         raw = ids.tobytes()
-        return (raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False))
+        return zip(new, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True)
+
+    def _made(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of words that aren't remembered, and of their parts."""
+        if self.letters is None:
+            return dict(self._coded(self.tokenizer, new))
+        young, old = self.young, self.old
+        whole, plain = set(), []
+        for w in new:
+            head = w.rstrip(_MARKS)
+            if head.isalpha():  # of bytes, which knows ASCII only
+                plain.append((w, head.lower(), w[len(head) :]))
+            else:
+                whole.add(w)
+        heads = {h for _, h, _ in plain}.difference(young)
+        tails = {t for _, _, t in plain if t}.difference(young)
+        made = {p: old[p] for s in (heads, tails) for p in s if p in old}
+        made.update(self._coded(self.letters, heads.difference(old)))
+        made.update(self._coded(self.tokenizer, whole | tails.difference(old)))
+        made[b""] = b""
+        for w, head, tail in plain:
+            if w != head:
+                made[w] = (made[head] if head in made else young[head]) + (made[tail] if tail in made else young[tail])
+        return made
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         docs = [(t or "").encode().split() for t in texts]
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        far = {w for d in docs for w in d if w not in young}
+        far = set().union(*docs).difference(young)
         young.update((w, old[w]) for w in far if w in old)
-        new = [w for w in far if w not in young]
-        if new:
-            young.update(zip(new, self._made(new), strict=True))
+        new = self._made(far.difference(old))
+        young.update(new)
         tail = np.array([end], self.kind).tobytes()
         out = [b"".join(map(young.__getitem__, d)) + tail for d in docs]
         for w in new:

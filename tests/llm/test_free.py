@@ -596,6 +596,21 @@ def test_special_tokens_are_the_library_s(spark, tmp_path):
     assert got == {i: [*t.encode(x, add_special_tokens=False).ids, sstable.END_ID] for i, x in enumerate(texts)}
 
 
+def test_words_of_letters_and_marks(monkeypatch):
+    """The letters go through the merges alone, once for all marks and cases; ids stay those of the tokenizer, also when words are forgotten."""
+    t, enc, coded = Tokenizer.from_file(sstable.TOKENIZER), sstable.WordEncoder(sstable.TOKENIZER, 2), []
+    spied = enc._coded
+    monkeypatch.setattr(enc, "_coded", lambda by, new: spied(by, coded.extend(sorted(new)) or new))
+    enc.encode(["Qwertz, qwertz QWERTZ; qwertz. it's", "Qwertz;"], 2)
+    assert coded == [b"qwertz", b",", b".", b";", b"it's"]
+    monkeypatch.setattr(sstable, "CACHE", 100)
+    r, signs = random.Random(8), [*"abcXYZ.,'!<|>#1", "é", "İ", "ſ", "\u0301", "\u0338", "中", "\x1c", "\x85", "\xa0", "<|endoftext|>"]
+    for _ in range(300):
+        texts = [" ".join("".join(r.choices(signs[: r.choice((6, 15, 99))], k=r.choice((1, 2, 5, 80)))) for _ in range(r.randrange(9))) for _ in range(4)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts, 2)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert enc.old
+
+
 def test_lookup_by_id(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sstable, "BLOCK_BYTES", 64)
     path, rows = tmp_path / "x.sst", [(None, b"\x01\x00"), (-5, b""), (-5, b"\x02\x00"), *[(3 * i, bytes([i, 0, i, 1])) for i in range(200)]]
