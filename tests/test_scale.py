@@ -195,3 +195,11 @@ def test_statistics_of_commands(spark):
     assert db.execute("STATS.LATENCY", "zadd", "50") == {"p50": 0.0}
     db.execute("INCR", "n")
     assert db.execute("OBJECT", "ENCODING", "n") == "int"
+
+
+def test_setbit_keeps_the_other_bits_of_its_byte(spark):
+    """Where a byte is taken already, which happens on large tables only; the SQL of bitmap_setbit holds where it is not."""
+    b = bitmaps.from_offsets(spark.createDataFrame([("click", i) for i in (4000, 4003, 4007, 9)] + [("view", 4004)], "key string, offset long"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(bitmaps.setbit(b, "click", 4004, True)) == [("click", 1, 64), ("click", 500, 0b10011001), ("view", 500, 8)]
+    assert rows(bitmaps.setbit(b, "click", 4003, False)) == [("click", 1, 64), ("click", 500, 0b10000001), ("view", 500, 8)]
